@@ -15,9 +15,83 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.site_lines import repeated_line_numbers
+
+    return repeated_line_numbers(table(spark, d, "documents"))
+
+
+def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.site_lines import without_repeated_lines
+
+    return without_repeated_lines(table(spark, d, "documents"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.term_counts import term_bands, term_counts
+
+    return term_bands(term_counts(table(spark, d, "documents"), table(spark, d, "word_dict")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_counts(spark, d).filter("band <> 'useful'").select("term", "band")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.distinctive import distinctive_words
+
+    return distinctive_words(table(spark, d, "documents")).select("doc_id", "term")
+
+
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.distinctive import distinctive_words
+
+    return distinctive_words(table(spark, d, "documents"), best=5, smooth=1.0, normalize=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids,)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p5_found, p5_scores, p8_ids)}
+
+
+_WORDS = """
+docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+tf AS (
+    SELECT doc_id, term, count(*) AS tf
+    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM docs)
+    GROUP BY doc_id, term
+)"""
+
+_TERMS = f"""
+WITH {_WORDS},
+counted AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM tf GROUP BY term),
+listed AS (
+    SELECT DISTINCT lower(regexp_replace(word, '^[\\s\\x{{00a0}}\\x{{3000}}\\x{{feff}}\\x{{200b}}]+|[\\s\\x{{00a0}}\\x{{3000}}\\x{{feff}}\\x{{200b}}]+$', '', 'g')) AS term
+    FROM word_dict WHERE lang = 'en' AND word IS NOT NULL
+),
+every AS (SELECT term, tf, df FROM counted UNION ALL SELECT term, 0, 0 FROM listed WHERE term <> ''),
+summed AS (SELECT term, sum(tf)::BIGINT AS tf, sum(df)::BIGINT AS df FROM every GROUP BY term),
+banded AS (
+    SELECT term, tf, df, CASE WHEN df < 3 THEN 'rare' WHEN df > 0.2 * (SELECT count(*) FROM docs) THEN 'common' ELSE 'useful' END AS band
+    FROM summed
+)"""
+
+
+def _scores(best: int, smooth: str, norm: str) -> str:
+    return f"""
+WITH {_WORDS},
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
+long AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id HAVING count(*) >= 20),
+scored AS (
+    SELECT doc_id, term, round((1 + log10(tf)) * log10(((SELECT count(*) FROM docs) + {smooth}) / (df + {smooth})) / {norm}, 6) AS score
+    FROM tf JOIN df USING (term) JOIN long USING (doc_id)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS place FROM scored)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": _TERMS + "SELECT term, band FROM banded WHERE band <> 'useful'",
+        "p3_counts": _TERMS + "SELECT term, tf, df, band FROM banded",
+        "p5_found": _scores(3, "0.0", "1") + "SELECT doc_id, term FROM placed WHERE place <= 3",
+        "p5_scores": _scores(5, "1.0", "sqrt(n)") + "SELECT doc_id, term, score FROM placed WHERE place <= 5",
+    }
