@@ -37,6 +37,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_counts(spark, d).filter("band <> 'useful'").select("term", "band")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.near_dup import similar_pairs
+
+    return similar_pairs(table(spark, d, "documents"), width=3, threshold=0.5, min_words=40)
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.near_dup import similar_groups
+
+    return similar_groups(table(spark, d, "documents"), width=3, threshold=0.5, min_words=40)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from verbarium.llm.distinctive import distinctive_words
 
@@ -50,7 +62,7 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p5_found, p5_scores, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p8_ids)}
 
 
 _WORDS = """
