@@ -5,10 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verbarium.sources.tables import table
 
 
+_SCORES = ["tfidf", "phrase_logp", "clicks", "page_rank"]
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.rank_fusion import latest_scores
+
+    saved = latest_scores(table(spark, d, "page_rank_store")).select(F.col("node").cast("long").alias("doc_id"), F.col("score").alias("page_rank"))
+    return table(spark, d, "query_hits").join(saved, "doc_id", "left")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.rank_fusion import best_items
+
+    return best_items(_candidates(spark, d), "query_id", "doc_id", _SCORES, 5).select("query_id", "doc_id")
+
+
+def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.rank_fusion import full_ranking
+
+    return full_ranking(_candidates(spark, d), "query_id", "doc_id", _SCORES)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from verbarium.llm.encode import encode_documents
 
@@ -62,7 +85,7 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p6_found, p6_ranking, p8_ids)}
 
 
 _WORDS = """
@@ -100,10 +123,35 @@ scored AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS place FROM scored)"""
 
 
+_RANKING = """
+WITH saved AS (
+    SELECT node, CASE WHEN isnan(score) THEN NULL ELSE score END AS page_rank
+    FROM page_rank_store WHERE node IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY node ORDER BY run_at DESC NULLS LAST, CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST) = 1
+),
+items AS (
+    SELECT query_id, doc_id, max(CASE WHEN isnan(tfidf) THEN NULL ELSE tfidf END) AS tfidf,
+        max(CASE WHEN isnan(phrase_logp) THEN NULL ELSE phrase_logp END) AS phrase_logp, max(clicks) AS clicks, max(page_rank) AS page_rank
+    FROM query_hits LEFT JOIN saved ON node = doc_id WHERE query_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL
+),
+placed AS (
+    SELECT query_id, doc_id, unnest([
+        rank() OVER (PARTITION BY query_id ORDER BY tfidf DESC NULLS LAST),
+        rank() OVER (PARTITION BY query_id ORDER BY phrase_logp DESC NULLS LAST),
+        rank() OVER (PARTITION BY query_id ORDER BY clicks DESC NULLS LAST),
+        rank() OVER (PARTITION BY query_id ORDER BY page_rank DESC NULLS LAST)]) AS place
+    FROM items
+),
+fused AS (SELECT query_id, doc_id, median(place) AS median_place, avg(place) AS mean_place FROM placed GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_place, mean_place, doc_id) AS place FROM fused)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _TERMS + "SELECT term, band FROM banded WHERE band <> 'useful'",
         "p3_counts": _TERMS + "SELECT term, tf, df, band FROM banded",
         "p5_found": _scores(3, "0.0", "1") + "SELECT doc_id, term FROM placed WHERE place <= 3",
+        "p6_found": _RANKING + "SELECT query_id, doc_id FROM ranked WHERE place <= 5",
+        "p6_ranking": _RANKING + "SELECT query_id, doc_id, median_place, mean_place, place FROM ranked",
         "p5_scores": _scores(5, "1.0", "sqrt(n)") + "SELECT doc_id, term, score FROM placed WHERE place <= 5",
     }
