@@ -202,6 +202,24 @@ def encode_documents(
     return short.unionByName(long)
 
 
+def count_tokens(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, split_chars: int = SPLIT_CHARS
+) -> DataFrame:
+    """``key`` and ``n_tokens bigint`` of each row, without moving the ids of ordinary texts."""
+    kind = docs.schema[key].dataType.simpleString()
+    long_rows = F.coalesce(F.length(text) > split_chars, F.lit(False))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks_path)
+        for batch in batches:
+            n = [len(enc.encode(v.as_py())) if v.is_valid else 0 for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64())], names=[key, "n_tokens"])
+
+    short = docs.filter(~long_rows).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    long = encode_documents(docs.filter(long_rows), key, text, ranks_path, split_chars)
+    return short.mapInArrow(counted, f"{key} {kind}, n_tokens bigint").unionByName(long.select(key, F.size("ids").cast("long").alias("n_tokens")))
+
+
 def decode_documents(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str | None = None) -> DataFrame:
     """``key`` and ``text`` from lists of ids; an empty or null list gives an empty text."""
 

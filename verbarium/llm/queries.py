@@ -84,8 +84,27 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     return distinctive_words(table(spark, d, "documents"), best=5, smooth=1.0, normalize=True)
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.encode import count_tokens
+    from verbarium.llm.packing import pack
+
+    return pack(count_tokens(table(spark, d, "documents")), "doc_id", "n_tokens", 2048)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.truncation import truncated
+
+    return truncated(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.truncation import truncation_rates
+
+    return truncation_rates(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p6_found, p6_ranking, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_containers, p10_found, p10_sources)}
 
 
 _WORDS = """
