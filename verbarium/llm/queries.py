@@ -50,6 +50,18 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.page_body import article_line_numbers
+
+    return article_line_numbers(table(spark, d, "web_corpus"))
+
+
+def p2_articles(spark: SparkSession, d: str) -> DataFrame:
+    from verbarium.llm.page_body import articles
+
+    return articles(table(spark, d, "web_corpus"))
+
+
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     from verbarium.llm.term_counts import term_bands, term_counts
 
@@ -104,7 +116,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_containers, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_articles, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_containers, p10_found, p10_sources)}
 
 
 _WORDS = """
