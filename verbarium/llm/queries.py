@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbarium.llm.words import MONTHS
 from verbarium.sources.tables import table
 
 
@@ -154,6 +155,34 @@ scored AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS place FROM scored)"""
 
 
+_MONTHS = ", ".join(f"'{m}'" for m in MONTHS)
+_REPEATED = f"""
+WITH lines AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no
+    FROM documents WHERE text IS NOT NULL
+),
+forms AS (
+    SELECT doc_id, source, line_no, line, regexp_replace(array_to_string(list_filter(
+        string_split_regex(lower(line), '[^\\p{{L}}\\p{{M}}]+'), lambda x: x NOT IN ({_MONTHS})), ''), '[\\x{{FE00}}-\\x{{FE0F}}]', '', 'g') AS form
+    FROM lines
+),
+sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+repeated AS (
+    SELECT f.source, form FROM forms f JOIN sizes s ON f.source IS NOT DISTINCT FROM s.source WHERE form <> ''
+    GROUP BY f.source, form, n HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.1 * n
+),
+hits AS (SELECT doc_id, line_no FROM forms f JOIN repeated r ON f.source IS NOT DISTINCT FROM r.source AND f.form = r.form)"""
+
+_SIMILAR = """
+WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+shingles AS (
+    SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 40)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 2 * k >= x.n + y.n - k"""
+
 _RANKING = """
 WITH saved AS (
     SELECT node, CASE WHEN isnan(score) THEN NULL ELSE score END AS page_rank
@@ -179,6 +208,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_pl
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _REPEATED + "SELECT doc_id, line_no FROM hits",
+        "p1_cleaned": _REPEATED + """
+            , kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n FROM forms ANTI JOIN hits USING (doc_id, line_no) GROUP BY doc_id)
+            SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+                CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(k.n, 0) END::INT AS n_removed
+            FROM documents d LEFT JOIN kept k USING (doc_id)""",
+        "p4_found": _SIMILAR,
         "p3_found": _TERMS + "SELECT term, band FROM banded WHERE band <> 'useful'",
         "p3_counts": _TERMS + "SELECT term, tf, df, band FROM banded",
         "p5_found": _scores(3, "0.0", "1") + "SELECT doc_id, term FROM placed WHERE place <= 3",
