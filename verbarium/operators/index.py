@@ -147,13 +147,13 @@ class TextIndex:
         n = self.n_segments()
         if n % 2:
             raise ValueError(f"{n} segments can't be merged in pairs")
-        seg = self.documents.select("seg_id").distinct()
-        order = seg.withColumn("place", F.row_number().over(W.orderBy("seg_id")) - 1)  # one row per segment
+        # The number of segments, and that of the documents in a merged one, has no bound.
+        seg = self.documents.select("seg_id").distinct().withColumn("all", F.lit(0))
+        order = running_total(seg, ["all"], [F.col("seg_id").asc()], F.lit(1), "place")
         pair = order.select("seg_id", F.floor(F.col("place") / 2).cast("int").alias("new_seg"))
-        # Numbers are given within a segment, which has a bounded size.
         live = self.documents.select("seg_id", "doc_id").join(self.tombstones, ["seg_id", "doc_id"], "left_anti").join(pair, "seg_id")
-        new_no = (F.row_number().over(W.partitionBy("new_seg").orderBy("seg_id", "doc_id")) - 1).cast("int")
-        moved = materialize(live.withColumn("new_doc", new_no), "merge")
+        moved = running_total(live, ["new_seg"], [F.col("seg_id").asc(), F.col("doc_id").asc()], F.lit(1), "place")
+        moved = materialize(moved.withColumn("new_doc", F.col("place").cast("int")).drop("place"), "merge")
 
         def renumbered(df: DataFrame) -> DataFrame:
             joined = df.join(moved, ["seg_id", "doc_id"])

@@ -64,8 +64,9 @@ def phrase_ids(index: TextIndex, terms: list[str]) -> DataFrame:
     # Each position votes for the places at which the phrase would begin.
     starts = (
         index.postings.filter(F.col("term").isin(list(offsets)))
-        .select(*_ID, F.explode("positions").alias("pos"), shift[F.col("term")].alias("o"))
-        .select(*_ID, (F.col("pos") - F.explode("o")).alias("start"))
+        .select(*_ID, "term", F.explode("positions").alias("pos"))
+        .select(*_ID, "pos", F.explode(shift[F.col("term")]).alias("o"))
+        .select(*_ID, (F.col("pos") - F.col("o")).alias("start"))
         .groupBy(*_ID, "start")
         .count()
         .filter(F.col("count") == len(terms))

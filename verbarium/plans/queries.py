@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbarium.plans import skew
+from verbarium.plans import reference, skew
+from verbarium.plans.reference import tfidf_top10  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**skew.QUERIES}
+    return {**reference.QUERIES, **skew.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**skew.ORACLE}
+    return {**reference.ORACLE, **skew.ORACLE}
