@@ -6,7 +6,7 @@ terminal punctuation or with a whole line that other documents have too. Cuts in
 transfer leave no spike; such a text is cut if a mark of a cut follows an open sentence, or
 if its last line is prose without an end: neither list item, address, code nor signature,
 nor a line that stands whole elsewhere: followed by other lines in at least two documents,
-or at the end of at least ``SITE_SHARE`` of the source's documents.
+or at the end of at least ``SITE_SHARE`` of the source's documents, those at a spike aside.
 
 Defined cases: null, empty and blank texts are not cut; a null source is a source of its
 own; repeated rows are judged alike, and equal texts alone make no spike.
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from verbarium.llm.words import line_form
 from verbarium.session import materialize
 
-#: Rows at the maximum that make a spike, and their factor over what the lengths below let expect.
+#: Rows at the maximum that make a spike, and their factor over what the lengths below let
+#: expect, both on average and just below.
 SPIKE_ROWS, SPIKE_FACTOR = 3, 5.0
-#: Lengths up to which the rest of a character can move a cut at a byte limit.
-BYTE_SLACK = 4
+#: Lengths over which the rest of a character spreads a cut at a byte limit.
+BYTE_SLACK = 3
 #: Lines up to this length can be whole lines of other documents.
 LINE_CHARS = 300
 #: Share of a source's documents, and number, that make a last line one of the site's.
@@ -88,14 +89,17 @@ def length_spikes(ends: DataFrame) -> DataFrame:
     at = histogram.join(top, F.col("source").eqNullSafe(F.col("_s")) & (F.col("measure") == F.col("_m")))
     near = F.col("length") > F.col("high") - F.col("slack")
     below = (F.col("length") >= F.col("high") * 0.8) & ~near
+    next_to = ~near & (F.col("length") > F.col("high") - 2 * F.col("slack"))
     sums = at.groupBy("source", "measure", "high", "slack").agg(
         F.sum(F.when(near, F.col("n")).otherwise(0)).alias("n_top"),
         F.sum(F.when(below, F.col("n")).otherwise(0)).alias("n_below"),
+        F.sum(F.when(next_to, F.col("n")).otherwise(0)).alias("n_next"),
         F.min(F.when(near, F.col("h1"))).alias("h1"),
         F.max(F.when(near, F.col("h2"))).alias("h2"),
     )
     expected = F.col("n_below") / (F.col("high") * 0.2 + 1) * F.col("slack")
-    spike = (F.col("n_top") >= SPIKE_ROWS) & (F.col("n_top") >= SPIKE_FACTOR * expected) & (F.col("h1") != F.col("h2"))
+    usual = SPIKE_FACTOR * F.greatest(expected, F.col("n_next"))
+    spike = (F.col("n_top") >= SPIKE_ROWS) & (F.col("n_top") >= usual) & (F.col("h1") != F.col("h2"))
     return sums.filter(spike).select("source", "measure", (F.col("high") - F.col("slack") + 1).alias("low"), "high")
 
 
@@ -125,13 +129,13 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     judged = ends.join(F.broadcast(limit) if small else limit, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("spike", at_limit)
     signed = F.col("spike") | F.col("marked")
     open_end = F.col("filled") & ((signed & ~F.col("stopped")) | (~F.col("ended") & ~F.col("whole")))
-    judged = judged.select("key", "source", "filled", "form", open_end.alias("open"), F.col("marked").alias("sure"))
+    judged = judged.select("key", "source", "filled", "form", "spike", open_end.alias("open"), F.col("marked").alias("sure"))
     asked = judged.filter(F.col("open") & ~F.col("sure") & F.col("form").isNotNull()).select("form")
     known = materialize(_known_forms(docs, asked, text), "known").withColumn("known", F.lit(True))
     few = known.count() <= BROADCAST_FORMS
     joined = judged.join(F.broadcast(known) if few else known, "form", "left")
     sizes = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n_all"))
-    ends_of = judged.filter("form is not null").groupBy("source", "form").agg(F.count(F.lit(1)).alias("n_end"))
+    ends_of = judged.filter("form is not null and not spike").groupBy("source", "form").agg(F.count(F.lit(1)).alias("n_end"))
     site = ends_of.filter(F.col("n_end") >= SITE_ROWS).join(
         sizes.select(F.col("source").alias("_s"), "n_all"), F.col("source").eqNullSafe(F.col("_s"))
     ).filter(F.col("n_end") >= SITE_SHARE * F.col("n_all"))
