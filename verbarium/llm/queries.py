@@ -185,14 +185,14 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JO
 SELECT a AS doc_id_a, b AS doc_id_b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 2 * k >= x.n + y.n - k"""
 
 _RANKING = """
-WITH clean AS (SELECT node, run_at, nullif(score, 'nan'::DOUBLE) AS score FROM page_rank_store WHERE node IS NOT NULL),
+WITH clean AS (SELECT node, run_at, CASE WHEN score::VARCHAR = 'nan' THEN NULL ELSE score END AS score FROM page_rank_store WHERE node IS NOT NULL),
 saved AS (
     SELECT node, score AS page_rank FROM clean
     QUALIFY row_number() OVER (PARTITION BY node ORDER BY run_at DESC NULLS LAST, score DESC NULLS LAST) = 1
 ),
 items AS (
-    SELECT query_id, doc_id, max(nullif(tfidf, 'nan'::DOUBLE)) AS tfidf,
-        max(nullif(phrase_logp, 'nan'::DOUBLE)) AS phrase_logp, max(clicks) AS clicks, max(page_rank) AS page_rank
+    SELECT query_id, doc_id, max(CASE WHEN tfidf::VARCHAR = 'nan' THEN NULL ELSE tfidf END) AS tfidf,
+        max(CASE WHEN phrase_logp::VARCHAR = 'nan' THEN NULL ELSE phrase_logp END) AS phrase_logp, max(clicks) AS clicks, max(page_rank) AS page_rank
     FROM query_hits LEFT JOIN saved ON node = doc_id WHERE query_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL
 ),
 placed AS (
