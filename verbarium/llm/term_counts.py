@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbarium.llm.words import partial_counts
@@ -25,27 +25,17 @@ from verbarium.session import _hadoop_path, drop_path, materialize, scratch_path
 
 #: A partition above this, compressed, is split further.
 MAX_PART_BYTES = 64 << 20
-#: Bits of the first and of each further split.
+#: Least bits of the first split, bits of each further one, and of all together.
 FIRST_BITS, NEXT_BITS, ALL_BITS = 4, 3, 60
 DUCKDB_MEMORY = "400MB"
 
 
-def _bits(depth: int, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64("term"), 64 - depth - bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-
-
-def _parts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """The partition folders below ``path`` with their sizes; as many as there are hash values."""
-    p, fs = _hadoop_path(spark, path)
-    folders = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
-    return [(f.toString(), fs.getContentSummary(f).getLength()) for f in folders]
-
-
-def _spill(rows: DataFrame, label: str, depth: int, bits: int) -> str:
-    path = scratch_path(rows.sparkSession, label)
+def _spill(rows: DataFrame, bits: int, partitions: int) -> str:
+    """The rows in folders by the first ``bits`` of their terms' hashes, on the shared disk."""
+    path = scratch_path(rows.sparkSession, "radix")
     (
-        rows.withColumn("part", _bits(depth, bits))
-        .repartition(1 << bits, "part")
+        rows.withColumn("part", F.shiftrightunsigned(F.xxhash64("term"), 64 - bits))
+        .repartition(partitions, "part")
         .write.partitionBy("part")
         .option("compression", "zstd")
         .parquet(path)
@@ -53,19 +43,28 @@ def _spill(rows: DataFrame, label: str, depth: int, bits: int) -> str:
     return path
 
 
-def radix_aggregate(partial: DataFrame, max_part_bytes: int = MAX_PART_BYTES, first_bits: int = FIRST_BITS) -> DataFrame:
+def _parts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The folders below ``path`` with their sizes; as many as there are hash values."""
+    p, fs = _hadoop_path(spark, path)
+    folders = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
+    return [(f.toString(), fs.getContentSummary(f).getLength()) for f in folders]
+
+
+def radix_aggregate(partial: DataFrame, max_part_bytes: int = MAX_PART_BYTES, first_bits: int | None = None) -> DataFrame:
     """Sums of ``tf`` and ``df`` by ``term``, as a table in the shared folder."""
     spark = partial.sparkSession
-    roots = [_spill(partial, "radix", 0, first_bits)]
+    bits = first_bits or max(FIRST_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    roots = [_spill(partial, bits, 1 << bits)]
     ready: list[str] = []
-    open_parts = [(p, n, first_bits) for p, n in _parts(spark, roots[0])]
-    while open_parts:
-        path, size, depth = open_parts.pop()
-        if size <= max_part_bytes or depth + NEXT_BITS > ALL_BITS:
-            ready.append(path)
-            continue
-        roots.append(_spill(spark.read.schema(partial.schema).parquet(path), "radix", depth, NEXT_BITS))
-        open_parts += [(p, n, depth + NEXT_BITS) for p, n in _parts(spark, roots[-1])]
+    while True:
+        parts = _parts(spark, roots[-1])
+        large = [p for p, n in parts if n > max_part_bytes and bits + NEXT_BITS <= ALL_BITS]
+        ready += [p for p, _ in parts if p not in set(large)]
+        if not large:
+            break
+        # All oversized partitions of a level are split in one job.
+        bits += NEXT_BITS
+        roots.append(_spill(spark.read.schema(partial.schema).parquet(*large), bits, len(large) << NEXT_BITS))
     spill_url = scratch_path(spark, "duckdb")
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
