@@ -73,6 +73,34 @@ def test_small_sketch_and_joined_filters_lose_nothing(spark, monkeypatch):
     assert pairs(similar_pairs(table(spark, rows), width=3, threshold=0.5, min_words=20)) == brute(rows, 3, 0.5, 20)
 
 
+def test_hot_shingles_in_blocks_lose_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(90))
+    rows = [(i, edited(rng, base, 0.06)) for i in range(60)] + sample(7, 20)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute(rows, 3, 0.5, 40)
+    assert len(want) > 900
+    monkeypatch.setattr(near_dup, "HOT_BLOCK", 7)
+    assert pairs(similar_pairs(table(spark, rows), width=3, threshold=0.5, min_words=40)) == want
+
+
+def test_blocks_pair_every_two_documents_once():
+    q = np.array([3, 200, 200, 40], dtype=np.uint8)
+    tok = np.array([1, 2, 3, 4], dtype=np.uint64)
+    seen = {}
+    for key in range(200):
+        for t, p in zip(*near_dup.split_hot(tok, q, np.arange(4), key, 16)):
+            seen.setdefault(int(t), []).append((key, int(p) >> 2, int(p) & 3))
+    met = {}
+    for members in seen.values():
+        for (a, i, m), (b, j, n) in combinations(members, 2):
+            if i == j and a != b and (m == 0 or m != n):
+                met[i, a, b] = met.get((i, a, b), 0) + 1
+    assert set(met.values()) == {1}
+    assert len(met) == 4 * 199 * 100
+    assert max(map(len, seen.values())) <= 200
+
+
 def test_large_class_of_copies_is_a_star(spark):
     rng = random.Random(8)
     base = " ".join(f"w{rng.randrange(500)}" for _ in range(80))

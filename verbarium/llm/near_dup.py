@@ -14,7 +14,9 @@ of at least ``threshold``. The join uses adaptive multi-match prefixes:
    whatever the sketch holds.
 3. Candidates are verified on their full sets.
 
-Postings travel as sorted arrays by ranges of the shingles' hashes, not as rows.
+Postings travel as sorted arrays by ranges of the shingles' hashes, not as rows. A shingle of
+very many documents is split: its documents fall into blocks, and each pair of blocks is a
+group of its own, so no task gets more than two blocks of it.
 
 Defined cases: null, empty and short texts (fewer than ``min_words`` words) match nothing;
 keys are expected to be unique, repeated rows of one key count once.
@@ -39,6 +41,8 @@ _SLICE_BITS = 16
 FLUSH_POSTINGS = 1_000_000
 #: Bytes of postings in one range, about.
 RANGE_BYTES = 48 << 20
+#: Documents of one token that meet in one group; more common tokens are split into pairs of blocks.
+HOT_BLOCK = 4096
 #: Keys up to which a filter on documents is broadcast.
 BROADCAST_KEYS = 500_000
 #: Members up to which a class of equal copies is written as all its pairs; larger ones as a star.
@@ -172,6 +176,35 @@ def choose_matches(q: np.ndarray, prefix: int) -> int:
     return best
 
 
+def counted_at_most(q: np.ndarray) -> np.ndarray:
+    """The largest count that the sketch writes as ``q``."""
+    return np.where(q < 128, q, 128 * 2.0 ** ((q.astype(np.float64) - 127) / 8))
+
+
+def split_hot(tok: np.ndarray, q: np.ndarray, pos: np.ndarray, key: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and places, with those of hot tokens repeated for every pair of blocks with the document's.
+
+    The last two bits of a place tell how documents of a token may be paired: 0 all of them,
+    1 and 2 only with each other.
+    """
+    blocks = np.ceil(counted_at_most(q) / block).astype(np.int64)
+    hot = np.flatnonzero(blocks > 1)
+    if not len(hot):
+        return tok, pos * 4
+    n = blocks[hot]
+    own = (int(_mixed(np.array([key], dtype=np.int64).view(np.uint64))[0]) % n.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(hot)), n)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    mine = own[at]
+    pair = np.minimum(mine, other) * np.int64(1 << 20) + np.maximum(mine, other) + 1
+    mode = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+    cold = blocks <= 1
+    return (
+        np.concatenate([tok[cold], _mixed(tok[hot][at] ^ pair.astype(np.uint64) * _A)]),
+        np.concatenate([pos[cold] * 4, pos[hot][at] * 4 + mode]),
+    )
+
+
 def _postings(docs: DataFrame, sketch, width: int, min_words: int, threshold: float, bits: int) -> DataFrame:
     """``part, docs, posts``: arrays of (key, size, l) and of (token, document, place), by ranges of tokens."""
 
@@ -213,9 +246,10 @@ def _postings(docs: DataFrame, sketch, width: int, min_words: int, threshold: fl
                 l = choose_matches(q, prefix)
                 end = min(n, prefix + l - 1)
                 first = int(np.searchsorted(q[:end], 2))  # a count of 1: no other document has it
-                tokens.append(s[first:end]), owners.append(np.full(end - first, len(table))), places.append(np.arange(first, end))
+                tok, pos = split_hot(s[first:end], q[first:end], np.arange(first, end), keys[i], HOT_BLOCK)
+                tokens.append(tok), owners.append(np.full(len(tok), len(table))), places.append(pos)
                 table.append((keys[i], n, l))
-                held += end - first
+                held += len(tok)
                 if held > FLUSH_POSTINGS:
                     yield from flush()
                     table.clear(), tokens.clear(), owners.clear(), places.clear()
@@ -231,7 +265,7 @@ def count_pairs(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of keys that share tokens at places that a match allows, with counts and the counts they need."""
     order = np.lexsort((size[doc], tok))
-    tok, doc, pos = tok[order], doc[order], pos[order]
+    tok, doc, pos, mode = tok[order], doc[order], pos[order] >> 2, pos[order] & 3
     starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     ends = np.repeat(np.r_[starts[1:], len(tok)], np.diff(np.r_[starts, len(tok)]))
     n_docs, ratio = len(key), threshold / (1 + threshold)
@@ -245,6 +279,7 @@ def count_pairs(
         share = np.ceil(ratio * both - 1e-9).astype(np.int64)
         l = np.minimum(least[x], least[y])
         ok = (pos[active] < size[x] - share + l) & (pos[active + k] < size[y] - share + l) & (key[x] != key[y])
+        ok &= (mode[active] == 0) | (mode[active] != mode[active + k])
         x, y = x[ok], y[ok]
         found.append(np.minimum(x, y) * n_docs + np.maximum(x, y))
         held += len(x)
