@@ -32,6 +32,8 @@ SITE_SHARE, SITE_ROWS = 0.01, 3
 #: Forms up to which they are broadcast.
 BROADCAST_FORMS = 500_000
 
+#: What may follow the end of a text.
+_BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\xad"
 _BLANK = r"[\s\h​﻿­]"
 _MARK = rf"(?:{_BLANK}*(?:\[\.\.\.\]|\[…\]|\(\.\.\.\)|…|\.\.\.|�))+$"
 _CLOSED = r"[)\]\"'”’」』»]*$"
@@ -47,8 +49,9 @@ _WHOLE = (
 def text_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """What the verdict on each row needs, as a table; null and blank texts have a null ``last``."""
     t = F.col("text")
-    body = F.regexp_replace(t, rf"{_BLANK}+$", "")
-    open_end = F.regexp_replace(F.col("body"), _MARK, "")
+    body = F.rtrim(t, F.lit(_BLANKS))
+    # Only a text that ends like a mark is searched for one.
+    open_end = F.when(F.right("body", F.lit(1)).isin(")", "]", "…", "\ufffd") | F.endswith("body", F.lit("...")), F.regexp_replace(F.col("body"), _MARK, "")).otherwise(F.col("body"))
     last = F.element_at(F.split(F.col("open"), "\n"), -1)
     trimmed = F.regexp_replace("last", r"[\s\h|>»]+$", "")
     return materialize(
@@ -105,10 +108,9 @@ def length_spikes(ends: DataFrame) -> DataFrame:
 
 def _known_forms(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """``form`` of the wanted lines that stand in two documents with another line after them."""
-    t = F.regexp_replace(F.col(text), rf"(?:{_BLANK}|\n)+$", "")
-    lines = F.split(t, "\n")
+    lines = F.split(F.rtrim(F.col(text), F.lit(_BLANKS)), "\n")
     before = F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: (F.length(x) <= LINE_CHARS) & (F.length(x) > 1))
-    forms = F.array_distinct(F.transform(F.filter(before, lambda x: ~F.rtrim(x).rlike(_ENDED)), lambda x: F.xxhash64(line_form(x))))
+    forms = F.array_distinct(F.transform(F.filter(before, lambda x: ~F.substring(F.rtrim(x, F.lit(_BLANKS)), -8, 8).rlike(_ENDED)), lambda x: F.xxhash64(line_form(x))))
     each = docs.filter(F.col(text).isNotNull()).select(F.explode(forms).alias("form"))
     wanted = materialize(wanted.distinct(), "wanted")
     few = wanted.count() <= BROADCAST_FORMS
