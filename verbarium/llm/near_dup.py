@@ -345,7 +345,8 @@ def similar_classes(
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     first = _first_pass(base, width, min_words)
     same = ["size", "h1", "h2"]
-    members = first.filter("key is not null").select("key", *same).dropDuplicates(["key"])
+    one = F.min(F.struct(*same)).alias("s")
+    members = first.filter("key is not null").groupBy("key").agg(one).select("key", "s.*")
     heads = members.groupBy(*same).agg(F.min("key").alias("class"))
     classes = materialize(members.join(heads, same).select("key", "class", "size"), "classes")
     total = classes.agg(F.sum("size")).first()[0] or 0
