@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbarium.functions.porter import stem_tokens
+from verbarium.functions.register import register
 from verbarium.functions.text import analyzer, tokenize_naive, tokenize_punctuation
 from verbarium.operators import search
-from verbarium.operators.index import TextIndex
+from verbarium.operators.index import IndexWriter, TextIndex
 
 PLAIN = analyzer(tokenize_punctuation)
 STEMMED = analyzer(tokenize_punctuation, stem_tokens)
@@ -160,3 +161,25 @@ def test_phrase_needs_positions(spark):
     index = build(spark, ["cat"], positional=False)
     with pytest.raises(NotImplementedError):
         search.search_phrase(index, [])
+
+
+def test_writer_flushes_and_merges_by_itself(spark):
+    writer = IndexWriter(TextIndex.empty(spark, analyze=PLAIN), flush_docs=2, merge_at=4)
+    sizes = []
+    for i in range(9):
+        writer.add(spark.createDataFrame([(i, f"cat number{i}")], "doc_id bigint, text string"))
+        sizes.append(sorted(r.n_docs for r in writer.index.segments().collect()))
+    assert sizes == [[], [2], [2], [2, 2], [2, 2], [2, 2, 2], [2, 2, 2], [4, 4], [4, 4]]
+    assert keys(search.search_keyword(writer.index, "cat")) == list(range(8))
+    writer.flush()
+    writer.flush()
+    assert keys(search.search_keyword(writer.index, "cat")) == list(range(9))
+
+
+def test_sql(spark):
+    register(spark)
+    index = build(spark, ["the cats", "cat dog"], analyze=STEMMED)
+    index.create_views("t")
+    rows = spark.sql("SELECT doc_id FROM t_postings WHERE term = stem_word('cats') ORDER BY doc_id").collect()
+    assert [r.doc_id for r in rows] == [0, 1]
+    assert spark.sql("SELECT stem_tokens(array('movies', 'cats'))").first()[0] == ["movi", "cat"]

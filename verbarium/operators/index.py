@@ -182,8 +182,41 @@ class TextIndex:
         return cls(documents, postings.select(*columns), spark.read.parquet(f"{path}/tombstones"), analyze or analyzer(), positional)
 
     def cached(self) -> TextIndex:
-        """With documents and postings written once to the shared folder, for many queries."""
-        return replace(self, documents=materialize(self.documents, "documents"), postings=materialize(self.postings, "postings"))
+        """With documents and postings, sorted by term, written once to the shared folder, for many queries."""
+        postings = self.postings.sortWithinPartitions("term", "seg_id", "doc_id")
+        return replace(self, documents=materialize(self.documents, "documents"), postings=materialize(postings, "postings"))
+
+    def create_views(self, prefix: str = "index") -> None:
+        """The tables as temporary views ``<prefix>_documents``, ``_postings``, ``_segments`` and ``_tombstones`` for SQL."""
+        for name, df in (("documents", self.documents), ("postings", self.postings), ("segments", self.segments()), ("tombstones", self.tombstones)):
+            df.createOrReplaceTempView(f"{prefix}_{name}")
 
     def drop(self, path: str) -> None:
         drop_path(self.spark, path)
+
+
+class IndexWriter:
+    """Collects documents and adds them to an index by segments.
+
+    What was added is searchable once it is flushed, which happens by itself when
+    ``flush_docs`` documents wait; segments are merged when ``merge_at`` of them, an even
+    number, are there.
+    """
+
+    def __init__(self, index: TextIndex, flush_docs: int = FLUSH_DOCS, merge_at: int | None = MERGE_SEGMENTS):
+        self.index, self.flush_docs, self.merge_at = index, flush_docs, merge_at
+        self._waiting: DataFrame | None = None
+
+    def add(self, docs: DataFrame) -> None:
+        """Documents as ``doc_id, text``; the batch is written once to the shared folder."""
+        docs = materialize(docs.select("doc_id", "text"), "added")
+        self._waiting = docs if self._waiting is None else self._waiting.unionByName(docs)
+        if self._waiting.count() >= self.flush_docs:
+            self.flush()
+
+    def flush(self) -> None:
+        """Without waiting documents nothing happens."""
+        if self._waiting is None or self._waiting.isEmpty():
+            return
+        self.index = self.index.flush(self._waiting, per_segment=self.flush_docs, merge_at=self.merge_at).cached()
+        self._waiting = None
