@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -64,6 +65,17 @@ def _code(kind: str, form: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{form}") - (1 << 63)
 
 
+def _codes(text: str, name: str) -> tuple[int, tuple[int, ...], int | None]:
+    cut = [p for p in _PARTS.split(text) if p.strip()]
+    parts = tuple(_code("part", template(p, name)) for p in cut) if len(cut) > 1 else ()
+    m = _PREFIX.match(text)
+    return _code("line", template(text, name)), parts, _code("prefix", template(m[1], name)) if m else None
+
+
+#: Frame lines come again and again; long lines are mostly running text.
+_cached_codes = lru_cache(maxsize=1 << 16)(_codes)
+
+
 class Line:
     """One line of a page with its templates."""
 
@@ -71,11 +83,7 @@ class Line:
 
     def __init__(self, no: int, text: str, name: str):
         self.no, self.text = no, text.strip()
-        self.line = _code("line", template(text, name))
-        cut = [p for p in _PARTS.split(self.text) if p.strip()]
-        self.parts = [_code("part", template(p, name)) for p in cut] if len(cut) > 1 else []
-        m = _PREFIX.match(self.text)
-        self.prefix = _code("prefix", template(m[1], name)) if m else None
+        self.line, self.parts, self.prefix = (_cached_codes if len(self.text) <= 150 else _codes)(self.text, name)
 
 
 def page_lines(text: str | None, host: str | None) -> list[Line]:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from verbarium.llm.words import partial_counts
 from verbarium.session import _hadoop_path, drop_path, materialize, scratch_path
 
-#: A partition above this, compressed, is split further.
-MAX_PART_BYTES = 64 << 20
+#: A partition above this, compressed, is split further; what is left fits into DuckDB's memory.
+MAX_PART_BYTES = 16 << 20
 #: Least bits of the first split, bits of each further one, and of all together.
 FIRST_BITS, NEXT_BITS, ALL_BITS = 4, 3, 60
 DUCKDB_MEMORY = "400MB"
@@ -84,7 +84,7 @@ def radix_aggregate(partial: DataFrame, max_part_bytes: int = MAX_PART_BYTES, fi
                 if urlparse(spill_url).scheme in ("", "file"):
                     folder = f"{urlparse(spill_url).path}/{uuid.uuid4().hex}"
                     os.makedirs(folder, exist_ok=True)
-                    con.execute(f"SET temp_directory = '{folder}'")
+                con.execute(f"SET temp_directory = '{folder or ''}'")  # never a folder of this machine alone
                 rows = ds.dataset(inner, filesystem=system, format="parquet").scanner(columns=["term", "tf", "df"]).to_reader()
                 con.register("part", rows)
                 result = con.sql("SELECT term, sum(tf)::BIGINT AS tf, sum(df)::BIGINT AS df FROM part GROUP BY term")
