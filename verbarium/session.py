@@ -37,7 +37,8 @@ def scratch_root(spark: SparkSession) -> str:
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if _local_root is None:
             _local_root = tempfile.mkdtemp(prefix="verbarium-")
