@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbarium.functions.text import Analyzer
 from verbarium.operators.index import TextIndex
+from verbarium.operators.running import running_total
+from verbarium.session import materialize
 
 _ID = ["seg_id", "doc_id"]
 
@@ -164,12 +167,10 @@ def search_combined(
 def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id", words: str = "keywords", top_k: str = "top_k", digits: int = 6) -> DataFrame:
     """TF-IDF of many queries at once: ``query_id, seg_id, doc_id, key, score, place``.
 
-    Null words are left out, a null ``top_k`` gives all hits. The queries' terms are joined
-    with the postings; each task keeps only the best of each query before the last shuffle
-    where all queries have a limit.
+    Null words are left out, a null ``top_k`` gives all hits. Each task keeps only the best
+    of each limited query before the last shuffle; the hits of unlimited ones are numbered
+    over many tasks, so a query that hits most documents is no matter.
     """
-    from pyspark.sql import Window as W
-
     text = F.array_join(F.filter(F.col(words), lambda x: x.isNotNull()), " ")
     terms = queries.select(F.col(query_id).alias("query_id"), F.col(top_k).alias("k"), F.explode(index.analyze(text)).alias("term")).groupBy("query_id", "k", "term").agg(F.count(F.lit(1)).alias("n_query"))
     n = index.documents.agg(F.count(F.lit(1)).alias("n"))
@@ -179,12 +180,18 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     weighted = terms.join(idf, "term")
     weight = F.col("tf") * F.col("idf")
     scored = (
-        _live(index, index.postings.select(*_ID, "term", "tf"))
+        index.postings.select(*_ID, "term", "tf")
         .join(weighted, "term")
         .groupBy("query_id", "k", *_ID)
         .agg(F.sum(weight * F.col("idf") * F.col("n_query")).alias("dot"), F.sum(weight * weight).alias("square"))
         .select("query_id", "k", *_ID, F.round(F.col("dot") / F.sqrt("square"), digits).alias("score"))
     )
+    scored = materialize(_live(index, scored), "scored")
+    most = queries.agg(F.max(top_k)).first()[0] or 0
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *_ID))
-    best = scored.withColumn("place", place).filter(F.col("k").isNull() | (F.col("place") <= F.col("k")))
+    limited = scored.filter("k is not null").withColumn("place", place).filter((F.col("place") <= most) & (F.col("place") <= F.col("k")))
+    order = [F.col("score").desc(), *[F.col(c).asc() for c in _ID]]
+    every = running_total(scored.filter("k is null"), ["query_id"], order, F.lit(1), "before")
+    every = every.withColumn("place", (F.col("before") + 1).cast("int")).drop("before")
+    best = limited.unionByName(every)
     return best.join(index.documents.select(*_ID, "key"), _ID).select("query_id", *_ID, "key", "score", "place")
