@@ -42,6 +42,11 @@ def number_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     )
 
 
+def no_tombstones(spark: SparkSession) -> DataFrame:
+    """An empty table that the optimizer knows to be empty, so that joins with it go."""
+    return spark.range(0).select(F.col("id").cast("int").alias("seg_id"), F.col("id").cast("int").alias("doc_id")).filter(F.lit(False))
+
+
 def build_postings(documents: DataFrame, analyze: Analyzer) -> DataFrame:
     """One shuffle: tokens of a document meet by (segment, term, document)."""
     tokens = documents.select("seg_id", "doc_id", F.posexplode(analyze(F.col("text"))).alias("pos", "term"))
@@ -65,7 +70,7 @@ class TextIndex:
         analyze = analyze or analyzer()
         documents = number_documents(docs, key, text, per_segment)
         postings = build_postings(documents, analyze)
-        none = docs.sparkSession.createDataFrame([], "seg_id int, doc_id int")
+        none = no_tombstones(docs.sparkSession)
         return cls(documents, postings if positional else postings.drop("positions"), none, analyze, positional)
 
     @classmethod
@@ -159,8 +164,7 @@ class TextIndex:
             joined = df.join(moved, ["seg_id", "doc_id"])
             return joined.select(*[F.col({"seg_id": "new_seg", "doc_id": "new_doc"}.get(c, c)).alias(c) for c in df.columns])
 
-        none = self.spark.createDataFrame([], "seg_id int, doc_id int")
-        return replace(self, documents=renumbered(self.documents), postings=renumbered(self.postings), tombstones=none)
+        return replace(self, documents=renumbered(self.documents), postings=renumbered(self.postings), tombstones=no_tombstones(self.spark))
 
     # --- storage ---
 

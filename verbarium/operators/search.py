@@ -64,12 +64,14 @@ def phrase_ids(index: TextIndex, terms: list[str]) -> DataFrame:
     for i, t in enumerate(terms):
         offsets.setdefault(t, []).append(i)
     shift = F.create_map(*[x for t, o in offsets.items() for x in (F.lit(t), F.array(*map(F.lit, o)))])
-    # Each position votes for the places at which the phrase would begin.
+    # Each position votes for the places at which the phrase would begin. Both aggregations
+    # use the one shuffle by document.
     starts = (
         index.postings.filter(F.col("term").isin(list(offsets)))
         .select(*_ID, "term", F.explode("positions").alias("pos"))
         .select(*_ID, "pos", F.explode(shift[F.col("term")]).alias("o"))
         .select(*_ID, (F.col("pos") - F.col("o")).alias("start"))
+        .repartition(*_ID)
         .groupBy(*_ID, "start")
         .count()
         .filter(F.col("count") == len(terms))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verbarium.functions.text import Analyzer, analyzer
-from verbarium.operators.index import FLUSH_DOCS, TextIndex, build_postings, number_documents
+from verbarium.operators.index import FLUSH_DOCS, TextIndex, build_postings, no_tombstones, number_documents
 
 #: Segments that one micro-batch may have.
 BATCH_SEGMENTS = 10_000
@@ -34,7 +34,6 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, analyze: Analyzer | None
 
 def open_stream_index(spark: SparkSession, path: str, analyze: Analyzer | None = None) -> TextIndex:
     """The index as it stands; deletions are kept by the caller."""
-    none = spark.createDataFrame([], "seg_id int, doc_id int")
     documents = spark.read.parquet(f"{path}/documents").select(F.col("seg_id").cast("int"), "doc_id", "key", "text")
     postings = spark.read.parquet(f"{path}/postings").select(F.col("seg_id").cast("int"), "term", "doc_id", "tf", "positions")
-    return TextIndex(documents, postings, none, analyze or analyzer())
+    return TextIndex(documents, postings, no_tombstones(spark), analyze or analyzer())
