@@ -38,10 +38,7 @@ BROADCAST_LINES = 500_000
 
 def _forms(text: Column) -> Column:
     """The form of each line; null for a line without letters."""
-    return F.transform(
-        F.split(text, "\n", -1),
-        lambda x: F.when(F.length(line_form(x)) > 0, F.xxhash64(line_form(x))),
-    )
+    return F.transform(F.transform(F.split(text, "\n", -1), line_form), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -164,7 +161,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
         sets = found.groupBy("source").agg(F.collect_list("form").alias("set"))
         joined = _by_source(base, sets, [], "left", True).withColumn("_set", F.coalesce("_set", F.array().cast("array<bigint>")))
         split = F.split(F.col("text"), "\n", -1)
-        kept = F.filter(split, lambda x: ~F.array_contains("_set", F.xxhash64(line_form(x))) | (F.length(line_form(x)) == 0))
+        kept = F.filter(split, lambda x: ~F.array_contains("_set", F.xxhash64(line_form(x))))  # no set has the hash of an empty form
         return joined.withColumn("kept", kept).select(
             F.col("key").alias(key),
             F.array_join("kept", "\n").alias(text),
@@ -173,7 +170,7 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     # Too many lines for a broadcast: line by line, brought together per row again.
     rows = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rows")
     each = rows.select("row", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn(
-        "form", F.when(F.length(line_form(F.col("line"))) > 0, F.xxhash64(line_form(F.col("line"))))
+        "form", F.xxhash64(line_form(F.col("line")))
     )
     marked = _by_source(each, found.withColumn("hit", F.lit(1)), ["form"], "left", False)
     one = marked.groupBy("row").agg(
