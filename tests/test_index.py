@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +185,17 @@ def test_sql(spark):
     rows = spark.sql("SELECT doc_id FROM t_postings WHERE term = stem_word('cats') ORDER BY doc_id").collect()
     assert [r.doc_id for r in rows] == [0, 1]
     assert spark.sql("SELECT stem_tokens(array('movies', 'cats'))").first()[0] == ["movi", "cat"]
+
+
+def test_random_queries_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = ["ant", "bee", "cat", "dog", "elk", "fox"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(150)]
+    index = build(spark, texts, per_segment=20).delete("fox").cached()
+    live = {i: t.split() for i, t in enumerate(texts) if "fox" not in t.split()}
+    for _ in range(6):
+        query = [rng.choice(words[:5]) for _ in range(rng.randrange(1, 4))]
+        n = len(query)
+        assert keys(search.search_and(index, query)) == sorted(i for i, t in live.items() if set(query) <= set(t))
+        assert keys(search.search_or(index, query)) == sorted(i for i, t in live.items() if set(query) & set(t))
+        assert keys(search.search_phrase(index, query)) == sorted(i for i, t in live.items() if any(t[k : k + n] == query for k in range(len(t))))
