@@ -36,6 +36,8 @@ from verbarium.session import materialize
 HOST_SHARE, HOST_PAGES = 0.008, 3
 #: Share and number of all pages, and number of hosts, that make it frame everywhere.
 ALL_SHARE, ALL_PAGES, ALL_HOSTS = 0.004, 8, 3
+#: Share and number of all pages on which a prefix must stand to be judged.
+PREFIX_SHARE, PREFIX_PAGES = 0.001, 4
 #: Templates up to which they are broadcast, about 40 MB; beyond, they travel to their hosts' pages.
 BROADCAST_TEMPLATES = 500_000
 #: Pages of one host in one task, where templates travel.
@@ -221,7 +223,8 @@ def _with_model(pages: DataFrame, model: DataFrame, work: Callable, schema: str)
     """``work(rows, model_of)`` over the pages; ``model(host, code)`` with a null host for all hosts."""
     spark = pages.sparkSession
     total = model.count()
-    everywhere = frozenset(r.code for r in model.filter("host is null").select("code").limit(BROADCAST_TEMPLATES).collect())
+    # Each code for all hosts stands on a given share of all pages, so there are at most some ten thousand.
+    everywhere = frozenset(r.code for r in model.filter("host is null").select("code").collect())
     if total <= BROADCAST_TEMPLATES:
         own: dict[str, set[int]] = {}
         for r in model.filter("host is not null").toLocalIterator():
@@ -303,9 +306,12 @@ def voted(pages: DataFrame, frame: DataFrame) -> DataFrame:
     weight = (F.col("yes") + 3 * F.col("all_yes") / F.col("all_n")) / (F.col("n") + 3)
     is_list = lists.select("_c").distinct()
     own = joined.join(is_list, F.col("code") == F.col("_c"), "left_semi").filter((weight > 0.5) & F.col("host").isNotNull()).select("host", "code")
+    total = pages.agg(F.count(F.lit(1)).alias("t"))  # one row
     prefixes = (
         every.join(is_list, F.col("code") == F.col("_c"), "left_anti")
-        .filter("all_n >= 4 and all_yes >= 0.9 * all_n")
+        .filter((F.col("all_n") >= PREFIX_PAGES) & (F.col("all_yes") >= 0.9 * F.col("all_n")))
+        .crossJoin(F.broadcast(total))
+        .filter(F.col("all_n") >= PREFIX_SHARE * F.col("t"))
         .select(F.lit(None).cast("string").alias("host"), "code")
     )
     return materialize(frame.unionByName(own).unionByName(prefixes).distinct(), "model")
