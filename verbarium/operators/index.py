@@ -14,9 +14,10 @@ terms and the columns that it needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,10 +48,33 @@ def no_tombstones(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(F.col("id").cast("int").alias("seg_id"), F.col("id").cast("int").alias("doc_id")).filter(F.lit(False))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _position_lists(pairs: Column) -> Column:
+    """From sorted ``(term, pos)`` structs an array of ``(term, positions)``."""
+    n = F.size(pairs)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(pairs, i)["term"] != F.get(pairs, i - 1)["term"]))
+
+    def lists(at: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            run = F.slice(pairs, i + 1, F.coalesce(F.get(at, k + 1), n) - i)
+            return F.struct(F.get(pairs, i)["term"].alias("term"), F.transform(run, lambda x: x["pos"]).alias("positions"))
+
+        return F.transform(at, one)
+
+    return _let(starts, lists)
+
+
 def build_postings(documents: DataFrame, analyze: Analyzer) -> DataFrame:
-    """One shuffle: tokens of a document meet by (segment, term, document)."""
-    tokens = documents.select("seg_id", "doc_id", F.posexplode(analyze(F.col("text"))).alias("pos", "term"))
-    return tokens.groupBy("seg_id", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """``seg_id, term, doc_id, tf, positions``, made where the documents are: a posting never
+    spans rows, so sorting a document's own tokens does and nothing is shuffled."""
+    pairs = F.sort_array(F.transform(analyze(F.col("text")), lambda term, pos: F.struct(term.alias("term"), pos.alias("pos"))))
+    posts = F.when(F.size(pairs) > 0, _let(pairs, _position_lists))
+    each = documents.select("seg_id", "doc_id", F.explode(posts).alias("p"))
+    return each.select("seg_id", "p.term", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
 
 
 @dataclass(frozen=True)
