@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -83,15 +83,19 @@ class Line:
 
     __slots__ = ("no", "text", "line", "parts", "prefix")
 
-    def __init__(self, no: int, text: str, name: str):
-        self.no, self.text = no, text.strip()
-        self.line, self.parts, self.prefix = (_cached_codes if len(self.text) <= 150 else _codes)(self.text, name)
+    def __init__(self, no: int, text: str, line: int, parts: Sequence[int], prefix: int | None):
+        self.no, self.text, self.line, self.parts, self.prefix = no, text, line, parts, prefix
 
 
 def page_lines(text: str | None, host: str | None) -> list[Line]:
+    """The lines of a page after its id and url line, blank ones left out."""
     name = brand(host)
-    lines = (text or "").split("\n")
-    return [Line(i, x, name) for i, x in enumerate(lines, 1) if i > 2 and x.strip()]
+    found = []
+    for i, x in enumerate((text or "").split("\n"), 1):
+        x = x.strip()
+        if i > 2 and x:
+            found.append(Line(i, x, *(_cached_codes if len(x) <= 150 else _codes)(x, name)))
+    return found
 
 
 def _ended(text: str) -> bool:
@@ -214,9 +218,18 @@ def _counted(rows: Iterator[tuple[str | None, int, int]], limit: int = 500_000)
     yield batch(n, yes)
 
 
-def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None, str]]:
+_PARSED = "page_id bigint, host string, text string, nos array<int>, lines array<bigint>, prefixes array<bigint>, cuts array<int>, parts array<bigint>"
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None, str, list[Line]]]:
+    """``page_id, host, text`` and the lines of parsed pages."""
     for b in batches:
-        yield from zip(b.column("page_id").to_pylist(), b.column("host").to_pylist(), b.column("text").to_pylist())
+        for page, host, text, nos, codes, prefixes, cuts, parts in zip(*(b.column(c).to_pylist() for c in ("page_id", "host", "text", "nos", "lines", "prefixes", "cuts", "parts"))):
+            raw, at, lines = text.split("\n"), 0, []
+            for no, code, prefix, n in zip(nos, codes, prefixes, cuts):
+                lines.append(Line(no, raw[no - 1].strip(), code, parts[at : at + n], prefix))
+                at += n
+            yield page, host, text, lines
 
 
 def _with_model(pages: DataFrame, model: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -251,37 +264,41 @@ def _with_model(pages: DataFrame, model: DataFrame, work: Callable, schema: str)
     return left.groupBy("host", "g").cogroup(right.groupBy("host", "g")).applyInArrow(group, schema)
 
 
-def _pages(pages: DataFrame, key: str, site: str, text: str) -> DataFrame:
+def parsed(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
+    """The distinct pages with the codes of their lines, parsed once, as a table."""
     url_host = F.regexp_extract(F.element_at(F.split(F.col(text), "\n"), 2), r"^\s*[a-z]+://([^/\s:]+)", 1)
     host = F.coalesce(F.col(site), F.when(F.size(F.split(F.col(text), "\n")) > 1, F.nullif(url_host, F.lit(""))))
-    return pages.filter(F.col(text).isNotNull()).select(F.col(key).alias("page_id"), host.alias("host"), F.col(text).alias("text")).distinct()
-
+    once = pages.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("page_id"), host.alias("host"), F.col(text).alias("text")).distinct()
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``host, code`` of the frame templates, of parts and lines; a null host stands for all."""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [page_lines(t, h) for t, h in zip(b.column("text").to_pylist(), b.column("host").to_pylist())]
+            columns = [
+                pa.array([[x.no for x in p] for p in each], pa.list_(pa.int32())),
+                pa.array([[x.line for x in p] for p in each], pa.list_(pa.int64())),
+                pa.array([[x.prefix for x in p] for p in each], pa.list_(pa.int64())),
+                pa.array([[len(x.parts) for x in p] for p in each], pa.list_(pa.int32())),
+                pa.array([[c for x in p for c in x.parts] for p in each], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("text"), *columns], names=["page_id", "host", "text", "nos", "lines", "prefixes", "cuts", "parts"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for _, host, text in _page_rows(batches):
-                lines = page_lines(text, host)
-                yield host, 0, 0
-                for code in {x.line for x in lines} | {c for x in lines for c in x.parts}:
-                    yield host, code, 0
+    return materialize(once.mapInArrow(parse, _PARSED), "pages")
 
-        yield from _counted(rows())
 
-    counts = materialize(pages.mapInArrow(work, _COUNTS).groupBy("host", "code").agg(F.sum("n").alias("n")), "templates")
-    sizes = counts.filter("code = 0").select(F.col("host").alias("_h"), F.col("n").alias("pages"))
+def templates(pages: DataFrame) -> DataFrame:
+    """``host, code`` of the frame templates, of parts and lines; a null host stands for all."""
+    codes = F.explode(F.array_distinct(F.concat("lines", "parts"))).alias("code")
+    counts = materialize(pages.select("host", codes).groupBy("host", "code").agg(F.count(F.lit(1)).alias("n")), "templates")
+    sizes = pages.groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("pages"))
     own = (
-        counts.filter(f"code <> 0 and n >= {HOST_PAGES} and host is not null")
+        counts.filter(f"n >= {HOST_PAGES} and host is not null")
         .join(sizes, F.col("host") == F.col("_h"))
         .filter(F.col("n") >= HOST_SHARE * F.col("pages"))
         .select("host", "code")
     )
     total = sizes.agg(F.sum("pages").alias("t"))  # one row
     every = (
-        counts.filter("code <> 0")
-        .groupBy("code")
+        counts.groupBy("code")
         .agg(F.sum("n").alias("n"), F.count("host").alias("hosts"))
         .filter((F.col("n") >= ALL_PAGES) & (F.col("hosts") >= ALL_HOSTS))
         .crossJoin(F.broadcast(total))
@@ -295,7 +312,7 @@ def voted(pages: DataFrame, frame: DataFrame) -> DataFrame:
     """``frame`` with the codes of frame lines that open link lists and of prefixes that point elsewhere."""
 
     def work(rows, model_of) -> Iterator[pa.RecordBatch]:
-        yield from _counted((host, code, vote) for _, host, text in rows for lines in [page_lines(text, host)] for code, vote in container_votes(lines, model_of(host)))
+        yield from _counted((host, code, vote) for _, host, _, lines in rows for code, vote in container_votes(lines, model_of(host)))
 
     votes = _with_model(pages, frame, work, _COUNTS).groupBy("host", "code").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
     votes = materialize(votes, "votes")
@@ -319,13 +336,13 @@ def voted(pages: DataFrame, frame: DataFrame) -> DataFrame:
 
 def article_line_numbers(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
     """``key, line_no`` of the lines of each page's article."""
-    base = _pages(pages, key, site, text)
+    base = parsed(pages, key, site, text)
     model = voted(base, templates(base))
 
     def work(rows, model_of) -> Iterator[pa.RecordBatch]:
         ids, numbers = [], []
-        for page, host, body in rows:
-            for no in article_lines(page_lines(body, host), model_of(host)):
+        for page, host, _, lines in rows:
+            for no in article_lines(lines, model_of(host)):
                 ids.append(page), numbers.append(no)
             if len(ids) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
@@ -337,7 +354,7 @@ def article_line_numbers(pages: DataFrame, key: str = "page_id", site: str = "si
 
 def articles(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
     """``key, article`` of each distinct page: the article's lines, an empty text if there are none."""
-    base = _pages(pages, key, site, text)
+    base = parsed(pages, key, site, text)
     model = voted(base, templates(base))
 
     def work(rows, model_of) -> Iterator[pa.RecordBatch]:
@@ -346,8 +363,8 @@ def articles(pages: DataFrame, key: str = "page_id", site: str = "site", text: s
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.string())], names=["page_id", "article"])
 
-        for page, host, body in rows:
-            keep = set(article_lines(page_lines(body, host), model_of(host)))
+        for page, host, body, lines in rows:
+            keep = set(article_lines(lines, model_of(host)))
             ids.append(page)
             bodies.append("\n".join(x.rstrip("\r") for i, x in enumerate(body.split("\n"), 1) if i in keep))
             held += len(bodies[-1])
