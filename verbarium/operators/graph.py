@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,27 +27,33 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 100, damping:
     number of links, so repeated links weigh more and nodes without links pass nothing on.
     Links between other than ``nodes`` are left out.
 
-    Repeated links are counted before the join. Each step is one join by source and one
-    aggregation by target with partial sums, so neither hot targets nor hot sources meet in
-    one task beyond what adaptive execution splits. Each step's scores are written to the
-    shared folder, which keeps plans short and survives lost executors.
+    Repeated links are counted before the join. The links are partitioned by source once and
+    kept so for all steps; each step moves only the scores and the partial sums by target,
+    so a hot target costs one row per task. Each step's scores are written to the shared
+    folder, which keeps plans short; kept links that are lost with an executor are read
+    again from there.
     """
+    spark = edges.sparkSession
     links = valid_edges(edges, nodes)
     degree = out_degrees(links)
     weights = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(degree, "src").select("src", "dst", (F.col("n") / F.col("out_degree")).alias("weight"))
-    weights = materialize(weights, "weights")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weights = materialize(weights, "weights").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     names = materialize(nodes.select("node").distinct(), "nodes")
     scores = names.withColumn("score", F.lit(1.0))
-    for _ in range(iterations):
-        sums = weights.join(scores, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("weight") * F.col("score")).alias("s"))
-        step = names.join(sums, F.col("node") == F.col("dst"), "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
-        step = materialize(step, "scores")
-        if tolerance is not None:
-            change = step.alias("a").join(scores.alias("b"), "node").agg(F.sum(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
-            if change is None or change < tolerance:
-                return step
-        scores = step
-    return scores
+    try:
+        for _ in range(iterations):
+            sums = weights.join(scores, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("weight") * F.col("score")).alias("s"))
+            step = names.join(sums, F.col("node") == F.col("dst"), "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
+            step = materialize(step, "scores")
+            if tolerance is not None:
+                change = step.alias("a").join(scores.alias("b"), "node").agg(F.sum(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
+                if change is None or change < tolerance:
+                    return step
+            scores = step
+        return scores
+    finally:
+        weights.unpersist()
 
 
 def ranked(scores: DataFrame) -> DataFrame:
