@@ -73,6 +73,15 @@ def test_pagerank(spark):
     assert graph.best_node(graph.pagerank(e, n, 5)).first().node == 2
 
 
+def test_hot_source_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS_PER_GROUP", 7)
+    edges = [(0, i) for i in range(1, 60)] + [(i, 0) for i in range(1, 60)] + [(3, 4), (3, 4)]
+    e = spark.createDataFrame(edges, "src int, dst int")
+    n = spark.createDataFrame([(i,) for i in range(61)], "node int")
+    got = {r.node: r.score for r in graph.pagerank(e, n, 4, tolerance=None).collect()}
+    assert got == pytest.approx(ranks(edges, range(61), 4))
+
+
 def test_pagerank_of_nothing(spark):
     e = spark.createDataFrame([], "src int, dst int")
     n = spark.createDataFrame([], "node int")

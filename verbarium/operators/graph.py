@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from verbarium.session import materialize
 
 
+#: Links of one source that stay together; those of a source with more are spread over groups.
+LINKS_PER_GROUP = 1_000_000
+
+
 def out_degrees(edges: DataFrame) -> DataFrame:
     """``src, out_degree``: links of each node, repeated ones counted."""
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
@@ -27,31 +31,36 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 100, damping:
     number of links, so repeated links weigh more and nodes without links pass nothing on.
     Links between other than ``nodes`` are left out.
 
-    Repeated links are counted before the join. The links are partitioned by source once and
-    kept so for all steps; each step moves only the scores and the partial sums by target,
-    so a hot target costs one row per task. Each step's scores are written to the shared
+    Repeated links are counted before the join. The links are partitioned by source once, those
+    of a hot source by several groups to which its score is copied, and kept so for all
+    steps; each step moves only the scores and the partial sums by target, so a hot target
+    costs one row per task. Each step's scores are written to the shared
     folder, which keeps plans short; kept links that are lost with an executor are read
     again from there.
     """
     spark = edges.sparkSession
     links = valid_edges(edges, nodes)
-    degree = out_degrees(links)
-    weights = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(degree, "src").select("src", "dst", (F.col("n") / F.col("out_degree")).alias("weight"))
+    groups = F.ceil(F.col("out_degree") / LINKS_PER_GROUP).cast("int")
+    degree = out_degrees(links).withColumn("groups", groups)
+    counted = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(degree, "src")
+    weights = counted.select("src", F.pmod(F.xxhash64("dst"), F.col("groups")).alias("g"), "dst", (F.col("n") / F.col("out_degree")).alias("weight"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    weights = materialize(weights, "weights").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    names = materialize(nodes.select("node").distinct(), "nodes")
+    weights = materialize(weights, "weights").repartition(parts, "src", "g").persist(StorageLevel.MEMORY_AND_DISK)
+    names = nodes.select("node").distinct().join(degree.select(F.col("src").alias("node"), "groups"), "node", "left")
+    names = materialize(names.select("node", F.coalesce("groups", F.lit(1)).alias("groups")), "nodes")
     scores = names.withColumn("score", F.lit(1.0))
     try:
         for _ in range(iterations):
-            sums = weights.join(scores, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("weight") * F.col("score")).alias("s"))
-            step = names.join(sums, F.col("node") == F.col("dst"), "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
+            copies = scores.select("node", "score", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups").cast("bigint") - 1)).alias("copy"))
+            sums = weights.join(copies, (F.col("src") == F.col("node")) & (F.col("g") == F.col("copy"))).groupBy("dst").agg(F.sum(F.col("weight") * F.col("score")).alias("s"))
+            step = names.join(sums, F.col("node") == F.col("dst"), "left").select("node", "groups", (F.lit(1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
             step = materialize(step, "scores")
             if tolerance is not None:
                 change = step.alias("a").join(scores.alias("b"), "node").agg(F.sum(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
                 if change is None or change < tolerance:
-                    return step
+                    return step.select("node", "score")
             scores = step
-        return scores
+        return scores.select("node", "score")
     finally:
         weights.unpersist()
 
