@@ -38,6 +38,8 @@ HOST_SHARE, HOST_PAGES = 0.008, 3
 ALL_SHARE, ALL_PAGES, ALL_HOSTS = 0.004, 8, 3
 #: Share and number of all pages on which a prefix must stand to be judged.
 PREFIX_SHARE, PREFIX_PAGES = 0.001, 4
+#: Share and number of all pages that make a word too common to tell what a page is about.
+WORD_SHARE, WORD_PAGES = 0.05, 3
 #: Templates up to which they are broadcast, about 40 MB; beyond, they travel to their hosts' pages.
 BROADCAST_TEMPLATES = 500_000
 #: Pages of one host in one task, where templates travel.
@@ -50,7 +52,7 @@ _PREFIX = re.compile(r"^\s*([^:：]{2,30}?)\s*[:：]\s*\S")
 _ENDED = re.compile(r"[.!?。！？][)\]\"'”’」』»]*\s*$")
 _TEASER = re.compile(r"(?:\.\.\.|…)\s*$|^.{8,90}\s-\s[A-Z“\"㐀-鿿぀-ヿ]")
 _ITEM = re.compile(r"^\s*(?:[•*\-–]\s|\d{1,2}[.)]\s|[$>“\"「])")
-_WORDS = re.compile(r"[a-z0-9]{4,}")
+_WORDS = re.compile(r"[a-z][a-z0-9]{3,}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
@@ -156,16 +158,21 @@ def container_votes(lines: list[Line], model: Model) -> Iterator[tuple[int, int]
         yield x.prefix, int(before and i != first)
 
 
-def _topical(title: str, others: list[str], rest: str) -> bool:
-    """Whether the text after a list is about the list's last entry, and more so than about the others."""
+def _topical(title: str, others: list[str], rest: str, model: Model) -> bool:
+    """Whether the text after a list is about the list's last entry, and not less than about the others.
+
+    Words that many pages have say nothing, unless a title has no others.
+    """
     if _CJK.search(title):
         return title in rest
     counts = Counter(_WORDS.findall(rest.lower()))
 
-    def score(t: str) -> int:
-        return max((counts[w] for w in _WORDS.findall(t.lower())), default=0)
+    def score(t: str, alone: bool) -> int:
+        words = set(_WORDS.findall(t.lower()))
+        rare = {w for w in words if not model.has(_code("word", w))}
+        return max((counts[w] for w in rare or (words if alone else ())), default=0)
 
-    return score(title) >= max([1, *map(score, others)])
+    return score(title, True) >= max([1, *(score(t, False) for t in others)])
 
 
 def article_lines(lines: list[Line], model: Model) -> list[int]:
@@ -187,7 +194,7 @@ def article_lines(lines: list[Line], model: Model) -> list[int]:
             last, others = pending[-1].text, [y.text for y in pending[:-1]]
             rest = "\n".join(y.text for y in lines[i:] if not _linklike(y.text))
             # A trail ends with the page's title; without one, the words decide.
-            if _LETTERS.sub("", last.lower()) in trails or (not _TEASER.search(last) and _topical(last, others, rest)):
+            if _LETTERS.sub("", last.lower()) in trails or (not _TEASER.search(last) and _topical(last, others, rest, model)):
                 found.append(pending[-1].no)
         state, pending = "open", []
         if not model.elsewhere(x):
@@ -305,7 +312,17 @@ def templates(pages: DataFrame) -> DataFrame:
         .filter(F.col("n") >= ALL_SHARE * F.col("t"))
         .select(F.lit(None).cast("string").alias("host"), "code")
     )
-    return materialize(own.unionByName(every), "frame")
+    return materialize(own.unionByName(every).unionByName(_common_words(pages)), "frame")
+
+
+def _common_words(pages: DataFrame) -> DataFrame:
+    """The codes of the words on at least ``WORD_SHARE`` of all pages, for all hosts."""
+    total = pages.count()
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS.pattern), F.lit(0)))).alias("word")
+    counts = pages.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # At most a page's average number of distinct words divided by the share.
+    common = [r.word for r in counts.filter(F.col("n") >= max(WORD_SHARE * total, WORD_PAGES)).collect()]
+    return pages.sparkSession.createDataFrame([(None, _code("word", w)) for w in common], "host string, code bigint")
 
 
 def voted(pages: DataFrame, frame: DataFrame) -> DataFrame:
