@@ -54,9 +54,17 @@ def distinctive_words(
     spark = docs.sparkSession
     counts = materialize(document_frequencies(docs, text).filter(f"term is null or df >= {min_df}"), "df")
     n_docs = counts.filter("term is null").agg(F.sum("df")).first()[0] or 0
-    top = counts.filter("term is not null").orderBy(F.desc("df"), "term").limit(head_size)
-    head = {r.term: r.df for r in top.collect()}  # at most head_size rows
-    least = min(head.values(), default=min_df)
+    # The head is cut at a step of the counts' logarithm, found from a histogram of some hundred rows.
+    step = F.floor(F.log2("df") * 8)
+    listed = counts.filter("term is not null")
+    steps = {r.step: r.n for r in listed.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, size = max(steps, default=0) + 1, 0
+    for k in sorted(steps, reverse=True):
+        size += steps[k]
+        if size > head_size:
+            break
+        first = k
+    head = {r.term: r.df for r in listed.filter(step >= first).collect()}  # at most head_size rows
     shared = spark.sparkContext.broadcast(head)
     kind = docs.schema[key].dataType
 
@@ -89,7 +97,7 @@ def distinctive_words(
                 floor = kept[-1][0] if len(kept) == best else -math.inf
                 for s, t in kept:
                     at.append(i), terms.append(t), scores.append(s), shares.append(None)
-                for s, t in tail:  # their counts are at most `least`; only those that could still win go on
+                for s, t in tail:  # only those that could still win go on
                     if s * rarest + 1e-6 >= floor:
                         at.append(i), terms.append(t), scores.append(None), shares.append(s)
             keys = batch.column("key").take(pa.array(at, pa.int64()))
@@ -102,7 +110,7 @@ def distinctive_words(
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     local = base.mapInArrow(score, f"row bigint, key {kind.simpleString()}, term string, score double, share double")
     local = materialize(local, "scored")
-    rest = counts.filter(F.col("term").isNotNull() & (F.col("df") <= least))
+    rest = listed.filter(step < first).hint("merge")  # it grows with the corpus, so it is never broadcast
     tail = (
         local.filter("share is not null")
         .join(rest, "term")
