@@ -153,7 +153,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
 
     spread = first.filter("slice is not null").select("slice", "blob").repartition("slice")
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    for r in spread.mapInArrow(add, "slice int, blob binary").collect():  # 16 MB at most
+    for r in spread.mapInArrow(add, "slice int, blob binary").toLocalIterator():  # 16 MB at most, part by part
         sketch[r.slice * step : (r.slice + 1) * step] = np.frombuffer(zlib.decompress(r.blob), dtype=np.uint8)
     return sketch
 
