@@ -39,8 +39,8 @@ SKETCH_BITS = 24
 _SLICE_BITS = 16
 #: Postings that a task keeps before it passes them on.
 FLUSH_POSTINGS = 1_000_000
-#: Bytes of postings in one range, about.
-RANGE_BYTES = 48 << 20
+#: Bytes of postings in one range, about, and by shingle.
+RANGE_BYTES, POSTING_BYTES = 16 << 20, 10
 #: Documents of one token that meet in one group; more common tokens are split into pairs of blocks.
 HOT_BLOCK = 4096
 #: Keys up to which a filter on documents is broadcast.
@@ -350,7 +350,7 @@ def similar_classes(
     heads = members.groupBy(*same).agg(F.min("key").alias("class"))
     classes = materialize(members.join(heads, same).select("key", "class", "size"), "classes")
     total = classes.agg(F.sum("size")).first()[0] or 0
-    bits = max(3, int(np.ceil(np.log2(max(1, total * 4 / RANGE_BYTES)))))
+    bits = max(3, int(np.ceil(np.log2(max(1, total * POSTING_BYTES / RANGE_BYTES)))))
     heads_only = _only(base, classes.filter("key <> class").select("key"), "left_anti")
     sketch = spark.sparkContext.broadcast(_sketch(first))
     postings = _postings(heads_only, sketch, width, min_words, threshold, bits)
