@@ -153,10 +153,10 @@ def test_phrase_at_any_place_and_repeated_words(spark):
 
 
 def test_equal_copies_are_all_found(spark):
-    index = build(spark, ["University of California, Irvine"] * 16, per_segment=1)
+    index = build(spark, ["University of Leinster, Dublin"] * 16, per_segment=1)
     while index.n_segments() > 1:
         index = index.merge_pairs().cached()
-    assert len(keys(search.search_phrase(index, ["University", "of", "California", "Irvine"]))) == 16
+    assert len(keys(search.search_phrase(index, ["University", "of", "Leinster", "Dublin"]))) == 16
 
 
 def test_phrase_needs_positions(spark):
