@@ -54,6 +54,15 @@ def test_site_line_at_the_end_is_whole(spark):
     assert truncated(table(spark, data)).filter("cut").count() == 0
 
 
+def test_copies_of_a_cut_text_are_one_witness(spark):
+    cut = "A first line.\nIt was copied and stops in the mid"
+    data = [(i, cut, "s") for i in range(3)] + [(3, cut + "…", "s")] + [(10 + i, f"Text number {i} is here.", "s") for i in range(6)]
+    # The same unfinished line with another one after it, in copies of one text.
+    data += [(20, "Once more.\nThe reader of the lantern counts", "t")] + [(21 + i, "The reader of the lantern counts\nthem all.", "t") for i in range(3)]
+    assert {r.doc_id for r in truncated(table(spark, data)).filter("cut").collect()} == {0, 1, 2, 3, 20}
+    assert {r.source: r.n_cut for r in truncation_rates(table(spark, data)).collect()} == {"s": 4, "t": 1}
+
+
 def test_rates(spark):
     data = [(1, "whole.", "a"), (2, "cut in th", "a"), (3, None, "a"), (4, "", "b"), (5, "whole.", None)]
     got = {r.source: (r.n_texts, r.n_cut, r.share) for r in truncation_rates(table(spark, data)).collect()}

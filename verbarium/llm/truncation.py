@@ -5,8 +5,9 @@ at the maximum, as a field limit leaves it. A text at a spike is cut unless it e
 terminal punctuation or with a whole line that other documents have too. Cuts in mid
 transfer leave no spike; such a text is cut if a mark of a cut follows an open sentence, or
 if its last line is prose without an end: neither list item, address, code nor signature,
-nor a line that stands whole elsewhere: followed by other lines in at least two documents,
-or at the end of at least ``SITE_SHARE`` of the source's documents, those at a spike aside.
+nor a line that stands whole elsewhere: followed by other lines in at least two texts, or at
+the end of at least ``SITE_SHARE`` of the source's texts, those at a spike aside. Texts that
+differ in their last line only, or not at all, count once: copies of a cut text are one witness.
 
 Defined cases: null, empty and blank texts are not cut; a null source is a source of its
 own; repeated rows are judged alike, and equal texts alone make no spike.
@@ -27,7 +28,7 @@ SPIKE_ROWS, SPIKE_FACTOR = 3, 5.0
 BYTE_SLACK = 3
 #: Lines up to this length can be whole lines of other documents.
 LINE_CHARS = 300
-#: Share of a source's documents, and number, that make a last line one of the site's.
+#: Share of a source's distinct texts, and number, that make a last line one of the site's.
 SITE_SHARE, SITE_ROWS = 0.01, 3
 #: Forms up to which they are broadcast.
 BROADCAST_FORMS = 500_000
@@ -66,6 +67,7 @@ def text_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
             F.length(t).cast("long").alias("chars"),
             F.octet_length(t).cast("long").alias("bytes"),
             F.xxhash64(t).alias("hash"),
+            F.xxhash64(F.left("open", F.length("open") - F.length("last"))).alias("rest"),
             (F.length("open") < F.length("body")).alias("marked"),
             F.col("trimmed").rlike(_ENDED).alias("ended"),
             F.col("trimmed").rlike(_STOPPED).alias("stopped"),
@@ -107,15 +109,16 @@ def length_spikes(ends: DataFrame) -> DataFrame:
 
 
 def _known_forms(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """``form`` of the wanted lines that stand in two documents with another line after them."""
+    """``form`` of the wanted lines that stand in two texts, their last lines aside, with another line after them."""
     lines = F.split(F.rtrim(F.col(text), F.lit(_BLANKS)), "\n")
-    before = F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: (F.length(x) <= LINE_CHARS) & (F.length(x) > 1))
+    rest = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
+    before = F.filter(rest, lambda x: (F.length(x) <= LINE_CHARS) & (F.length(x) > 1))
     forms = F.array_distinct(F.transform(F.filter(before, lambda x: ~F.substring(F.rtrim(x, F.lit(_BLANKS)), -8, 8).rlike(_ENDED)), lambda x: F.xxhash64(line_form(x))))
-    each = docs.filter(F.col(text).isNotNull()).select(F.explode(forms).alias("form"))
+    each = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(rest).alias("rest"), F.explode(forms).alias("form"))
     wanted = materialize(wanted.distinct(), "wanted")
     few = wanted.count() <= BROADCAST_FORMS
     found = each.join(F.broadcast(wanted) if few else wanted, "form", "left_semi")
-    return found.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("form")
+    return found.groupBy("form").agg(F.count_distinct("rest").alias("n")).filter("n >= 2").select("form")
 
 
 def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -131,13 +134,13 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     judged = ends.join(F.broadcast(limit) if small else limit, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("spike", at_limit)
     signed = F.col("spike") | F.col("marked")
     open_end = F.col("filled") & ((signed & ~F.col("stopped")) | (~F.col("ended") & ~F.col("whole")))
-    judged = judged.select("key", "source", "filled", "form", "spike", open_end.alias("open"), F.col("marked").alias("sure"))
+    judged = judged.select("key", "source", "filled", "hash", "rest", "form", "spike", open_end.alias("open"), F.col("marked").alias("sure"))
     asked = judged.filter(F.col("open") & ~F.col("sure") & F.col("form").isNotNull()).select("form")
     known = materialize(_known_forms(docs, asked, text), "known").withColumn("known", F.lit(True))
     few = known.count() <= BROADCAST_FORMS
     joined = judged.join(F.broadcast(known) if few else known, "form", "left")
-    sizes = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n_all"))
-    ends_of = judged.filter("form is not null and not spike").groupBy("source", "form").agg(F.count(F.lit(1)).alias("n_end"))
+    sizes = judged.groupBy("source").agg(F.count_distinct("hash").alias("n_all"))
+    ends_of = judged.filter("form is not null and not spike").groupBy("source", "form").agg(F.count_distinct("rest").alias("n_end"))
     site = ends_of.filter(F.col("n_end") >= SITE_ROWS).join(
         sizes.select(F.col("source").alias("_s"), "n_all"), F.col("source").eqNullSafe(F.col("_s"))
     ).filter(F.col("n_end") >= SITE_SHARE * F.col("n_all"))
