@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from verbarium.llm import near_dup
-from verbarium.llm.near_dup import choose_matches, similar_groups, similar_pairs
+from verbarium.llm.near_dup import choose_matches, equal_texts, similar_groups, similar_pairs
 from verbarium.llm.words import words
 
 SCHEMA = "doc_id bigint, text string, key int, size int, a int, b int, class string"
@@ -112,6 +112,26 @@ def test_large_class_of_copies_is_a_star(spark):
     assert groups == {**{i: (1, 1) for i in range(10, 40)}, 1: (1, 1), 2: (2, 0)}
 
 
+def test_large_class_is_written_in_full(spark, monkeypatch):
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(80))
+    near = edited(rng, base, 0.05)
+    # One class of 120 by its shingles, of two texts; and one of 3 that matches it.
+    rows = [(i, base if i % 2 else base.replace(" ", ", ", 9)) for i in range(10, 130)] + [(i, near) for i in range(3)]
+    want = set(combinations(range(3), 2)) | set(combinations(range(10, 130), 2)) | {(a, b) for a in range(3) for b in range(10, 130)}
+    assert brute(rows, 3, 0.5, 40) == want
+    for block in (128, 7):
+        monkeypatch.setattr(near_dup, "PAIR_BLOCK", block)
+        got = similar_pairs(table(spark, rows), width=3, threshold=0.5, min_words=40)
+        assert pairs(got) == want
+        assert got.count() == len(want)
+    # As stars, the two texts keep their link with each other and with the near copies.
+    got = pairs(similar_pairs(table(spark, rows), width=3, threshold=0.5, min_words=40, full_class=5))
+    stars = {(10 + i % 2, i) for i in range(12, 130)}
+    assert got == stars | {(10, 11)} | set(combinations(range(3), 2)) | {(a, b) for a in range(3) for b in (10, 11)}
+    assert {(r.copy_of, r.doc_id) for r in equal_texts(table(spark, rows)).collect()} == stars | {(10, 10), (11, 11), (0, 0), (0, 1), (0, 2)}
+
+
 def test_groups_are_components(spark):
     rows = sample(6, 30)
     got = {r.doc_id: r.group_id for r in similar_groups(table(spark, rows), width=3, threshold=0.5, min_words=40).collect()}

@@ -45,8 +45,8 @@ RANGE_BYTES, POSTING_BYTES = 16 << 20, 10
 HOT_BLOCK = 4096
 #: Keys up to which a filter on documents is broadcast.
 BROADCAST_KEYS = 500_000
-#: Members up to which a class of equal copies is written as all its pairs; larger ones as a star.
-FULL_CLASS = 100
+#: Members of a class, about, that meet those of another block in one group when pairs are written.
+PAIR_BLOCK = 128
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _cache: dict[str, int] = {}
@@ -368,27 +368,48 @@ def similar_classes(
     return classes.select("key", "class"), materialize(links, "links")
 
 
-def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", full_class: int = FULL_CLASS, **options) -> DataFrame:
-    """``{key}_a, {key}_b`` of the matching pairs, smaller first.
+def equal_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, copy_of`` of each document with a text: the smallest key of those with the same text."""
+    base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
+    hashed = base.select("key", F.sha2("text", 256).alias("hash")).groupBy("key").agg(F.min("hash").alias("hash"))
+    heads = hashed.groupBy("hash").agg(F.min("key").alias("copy_of"))
+    return hashed.join(heads, "hash").select(F.col("key").alias(key), "copy_of")
 
-    Classes of more than ``full_class`` equal copies stand for themselves by their smallest
-    key: their members are paired with it, and it alone with other classes.
+
+def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", full_class: int | None = None, **options) -> DataFrame:
+    """``{key}_a, {key}_b`` of all matching pairs, smaller first.
+
+    With ``full_class``, more than so many documents of one text stand for themselves by
+    their smallest key: the others are paired with it only, and it alone with other texts.
+    ``equal_texts`` tells whom a key stands for; pairs of different texts are all written.
     """
     classes, links = similar_classes(docs, key, text, **options)
-    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    several = materialize(classes.join(sizes.filter("n > 1"), "class"), "several")
-    small = several.filter(F.col("n") <= full_class).select("class", "key")
-    a, b = small.select("class", F.col("key").alias("a")), small.select("class", F.col("key").alias("b"))
-    inside = a.join(b, "class").filter("a < b").select("a", "b")
-    star = several.filter((F.col("n") > full_class) & (F.col("key") != F.col("class"))).select(F.col("class").alias("a"), F.col("key").alias("b"))
+    star = None
+    if full_class is not None:
+        copies = _only(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), classes.select("key"), "left_semi")
+        copies = equal_texts(copies, "key")
+        many = copies.groupBy("copy_of").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > full_class).select("copy_of")
+        star = materialize(copies.join(many, "copy_of").filter("key <> copy_of").select(F.col("copy_of").alias("a"), F.col("key").alias("b")), "star")
+        classes = classes.join(star.select(F.col("b").alias("key")), "key", "left_anti")
+    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = materialize(sizes.select("class", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), "sizes")
+    several = materialize(classes.join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "several")
+
+    # Each pair of blocks of a class meets in a group of its own, so a large class spans tasks.
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = several.select("class", F.col("key").alias("a"), F.col("block").alias("i"), F.explode(every).alias("j"))
+    b = several.select("class", F.col("key").alias("b"), F.explode(every).alias("i"), F.col("block").alias("j"))
+    inside = a.join(b, ["class", "i", "j"]).filter("a < b").select("a", "b")
 
     def members(pairs: DataFrame, side: str) -> DataFrame:
-        named = small.select(F.col("class").alias(side), F.col("key").alias("_m"))
-        return pairs.join(named, side, "left").withColumn(side, F.coalesce("_m", side)).drop("_m")
-
-    across = members(members(links, "a"), "b")
-    every = inside.unionByName(star).unionByName(across)
-    return every.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"))
+        blocks = sizes.select(F.col("class").alias(side), "blocks")
+        spread = pairs.join(blocks, side, "left").select(*pairs.columns, F.explode(F.coalesce(every, F.array(F.lit(0)))).alias("block"))
+        named = several.select(F.col("class").alias(side), "block", F.col("key").alias("_m"))
+        return spread.join(named, [side, "block"], "left").withColumn(side, F.coalesce("_m", side)).drop("_m", "block")
+
+    pairs = inside.unionByName(members(members(links, "a"), "b"))
+    pairs = pairs if star is None else pairs.unionByName(star)
+    return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
