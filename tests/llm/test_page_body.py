@@ -55,6 +55,17 @@ def test_templates_that_travel(spark, monkeypatch):
     assert len(got ^ want) <= 0.02 * len(want)
 
 
+def test_prefix_of_one_host_in_a_large_collection(spark):
+    rows, want = sample()
+    # 60 pages of a host with a prefix of its own, among 80,000 of others.
+    own = [(1000 + i, "gamma.example", x.replace("beta.example", "gamma.example").replace("alpha-news.example", "gamma.example").replace("Read also:", "Turn to:")) for i, (_, _, x) in enumerate(rows[:60])]
+    turn = {(p, k) for p, _, x in own for k, line in enumerate(x.split("\n"), 1) if line.startswith("Turn to:")}
+    assert len(turn) == 60
+    others = spark.range(100_000, 180_000).selectExpr("id", "concat('h', id % 2000, '.example')", "concat(id, '\nhttps://x.example/', id, '\nOne sentence here.')", "'x'", "1", "'y'")
+    got = pairs(article_line_numbers(table(spark, rows + own).union(others)).filter("page_id < 100000"))
+    assert not got & turn
+
+
 def test_articles(spark):
     rows, want = sample(40)
     texts = {r.page_id: r.article for r in articles(table(spark, rows)).collect()}

@@ -36,7 +36,8 @@ from verbarium.session import materialize
 HOST_SHARE, HOST_PAGES = 0.008, 3
 #: Share and number of all pages, and number of hosts, that make it frame everywhere.
 ALL_SHARE, ALL_PAGES, ALL_HOSTS = 0.004, 8, 3
-#: Share and number of all pages on which a prefix must stand to be judged.
+#: Share of all pages, and number of pages, on which a prefix must stand to be judged for all
+#: hosts; for a host of its own, ``HOST_SHARE`` of the host's pages and the same number.
 PREFIX_SHARE, PREFIX_PAGES = 0.001, 4
 #: Share and number of all pages that make a word too common to tell what a page is about.
 WORD_SHARE, WORD_PAGES = 0.05, 3
@@ -340,7 +341,19 @@ def voted(pages: DataFrame, frame: DataFrame) -> DataFrame:
     weight = (F.col("yes") + 3 * F.col("all_yes") / F.col("all_n")) / (F.col("n") + 3)
     is_list = lists.select("_c").distinct()
     own = joined.join(is_list, F.col("code") == F.col("_c"), "left_semi").filter((weight > 0.5) & F.col("host").isNotNull()).select("host", "code")
-    total = pages.agg(F.count(F.lit(1)).alias("t"))  # one row
+    sizes = pages.groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("pages"))
+    # Pages count, not lines: one page with many lines of a prefix is one.
+    stands = pages.select("host", F.explode(F.array_distinct("prefixes")).alias("code")).filter("code is not null and host is not null")
+    stands = stands.groupBy("host", "code").agg(F.count(F.lit(1)).alias("on")).filter(F.col("on") >= PREFIX_PAGES)
+    own_prefixes = (
+        votes.filter((F.col("n") >= PREFIX_PAGES) & (F.col("yes") >= 0.9 * F.col("n")))
+        .join(is_list, F.col("code") == F.col("_c"), "left_anti")
+        .join(stands, ["host", "code"])
+        .join(sizes, F.col("host") == F.col("_h"))
+        .filter(F.col("on") >= HOST_SHARE * F.col("pages"))
+        .select("host", "code")
+    )
+    total = sizes.agg(F.sum("pages").alias("t"))  # one row
     prefixes = (
         every.join(is_list, F.col("code") == F.col("_c"), "left_anti")
         .filter((F.col("all_n") >= PREFIX_PAGES) & (F.col("all_yes") >= 0.9 * F.col("all_n")))
@@ -348,7 +361,7 @@ def voted(pages: DataFrame, frame: DataFrame) -> DataFrame:
         .filter(F.col("all_n") >= PREFIX_SHARE * F.col("t"))
         .select(F.lit(None).cast("string").alias("host"), "code")
     )
-    return materialize(frame.unionByName(own).unionByName(prefixes).distinct(), "model")
+    return materialize(frame.unionByName(own).unionByName(own_prefixes).unionByName(prefixes).distinct(), "model")
 
 
 def article_line_numbers(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
