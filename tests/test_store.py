@@ -60,3 +60,22 @@ def test_stream_ingest(spark, tmp_path):
     assert sorted(r.key for r in index.documents.collect()) == [1, 2, 3]
     assert index.n_segments() == 3
     assert index.postings.filter("term = 'cat'").count() == 2
+
+
+def test_large_batch_leaves_the_next_one_whole(spark, tmp_path, monkeypatch):
+    source, path, state = (str(tmp_path / x) for x in ("in", "index", "state"))
+    # Segments that a batch might once have: the first batch has more.
+    monkeypatch.setattr("verbarium.streaming.ingest.BATCH_SEGMENTS", 2, raising=False)
+
+    def run():
+        ingest(spark.readStream.schema("doc_id bigint, text string").parquet(source), path, state, per_segment=1).awaitTermination()
+        index = open_stream_index(spark, path)
+        return sorted(r.key for r in index.documents.collect()), index.postings.filter("term = 'cat'").count()
+
+    docs(spark, [(i, "cat") for i in range(4)] + [(9, None)]).write.parquet(source)
+    assert run() == ([0, 1, 2, 3], 4)
+    docs(spark, [(i, "cat") for i in range(4, 7)]).write.mode("append").parquet(source)
+    assert run() == (list(range(7)), 7)
+    for name in ("1", ".1.crc"):  # the last batch runs again
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    assert run() == (list(range(7)), 7)

@@ -8,24 +8,52 @@ from pyspark.sql.streaming import StreamingQuery
 
 from verbarium.functions.text import Analyzer, analyzer
 from verbarium.operators.index import FLUSH_DOCS, TextIndex, build_postings, no_tombstones, number_documents
+from verbarium.session import _hadoop_path
 
-#: Segments that one micro-batch may have.
-BATCH_SEGMENTS = 10_000
+#: Largest segment number.
+LAST_SEGMENT = (1 << 31) - 1
+
+
+def _first_segment(spark: SparkSession, path: str, batch_id: int, count: int) -> int:
+    """The first of ``count`` segment numbers for a batch, kept in the log of the index.
+
+    The log has an empty folder ``batches/<batch>_<first>_<count>`` for each batch, made
+    before the batch is written; a batch that runs again finds its own.
+    """
+    log, fs = _hadoop_path(spark, f"{path}/batches")
+    taken = [tuple(map(int, x.getPath().getName().split("_"))) for x in fs.listStatus(log)] if fs.exists(log) else []
+    for batch, first, n in taken:
+        if batch == batch_id:
+            if n != count:
+                raise ValueError(f"batch {batch_id} had {n} segments and has {count} when run again")
+            return first
+    if taken:
+        first = max(f + n for _, f, n in taken)
+    else:  # an index without a log may have segments
+        stored, files = _hadoop_path(spark, f"{path}/documents")
+        names = [x.getPath().getName() for x in files.listStatus(stored)] if files.exists(stored) else []
+        first = max((int(x.removeprefix("seg_id=")) + 1 for x in names if x.startswith("seg_id=")), default=0)
+    if first + count - 1 > LAST_SEGMENT:
+        raise OverflowError(f"batch {batch_id}: no segment numbers are left from {first} on")
+    fs.mkdirs(_hadoop_path(spark, f"{path}/batches/{batch_id}_{first}_{count}")[0])
+    return first
 
 
 def ingest(docs: DataFrame, path: str, checkpoint: str, analyze: Analyzer | None = None, per_segment: int = FLUSH_DOCS, trigger: dict | None = None) -> StreamingQuery:
     """Write a stream of ``doc_id, text`` to the index at ``path``.
 
-    A batch's segments are numbered by the batch, and are replaced if it runs again, so a
-    restart neither loses nor repeats documents. Documents are searchable once their batch
-    is written.
+    A batch of any size gets the segment numbers after those of the batches before it. They
+    are logged and replaced if the batch runs again, so a restart neither loses nor repeats
+    documents. Documents are searchable once their batch is written.
     """
     analyze = analyze or analyzer()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        count = -(-batch.filter(F.col("text").isNotNull()).count() // per_segment)
+        if not count:
             return
-        documents = number_documents(batch, per_segment=per_segment, first_segment=batch_id * BATCH_SEGMENTS)
+        first = _first_segment(batch.sparkSession, path, batch_id, count)
+        documents = number_documents(batch, per_segment=per_segment, first_segment=first)
         for name, table in (("documents", documents), ("postings", build_postings(documents, analyze).sortWithinPartitions("seg_id", "term"))):
             table.write.partitionBy("seg_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
 
