@@ -63,6 +63,11 @@ def test_copies_of_a_cut_text_are_one_witness(spark):
     assert {r.source: r.n_cut for r in truncation_rates(table(spark, data)).collect()} == {"s": 4, "t": 1}
 
 
+def test_cut_at_a_spike_in_a_line_without_letters(spark):
+    data = [(i, (PROSE.format(f"w{i}") * 4)[:187] + ("\n20", "\n -", "abc")[i % 3], "s") for i in range(12)] + [(50 + i, PROSE.format(f"w{i}")[: 60 + i] + "\n20", "s") for i in range(12)]
+    assert {r.doc_id for r in truncated(table(spark, data)).filter("cut").collect()} == set(range(12))
+
+
 def test_rates(spark):
     data = [(1, "whole.", "a"), (2, "cut in th", "a"), (3, None, "a"), (4, "", "b"), (5, "whole.", None)]
     got = {r.source: (r.n_texts, r.n_cut, r.share) for r in truncation_rates(table(spark, data)).collect()}

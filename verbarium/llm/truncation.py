@@ -1,10 +1,10 @@
 """Texts that were cut off (problem 10).
 
 Per source, histograms of text lengths in characters and in bytes are tested for a spike
-at the maximum, as a field limit leaves it. A text at a spike is cut unless it ends with
-terminal punctuation or with a whole line that other documents have too. Cuts in mid
-transfer leave no spike; such a text is cut if a mark of a cut follows an open sentence, or
-if its last line is prose without an end: neither list item, address, code nor signature,
+at the maximum, as a field limit leaves it. A text at a spike is cut, whether its last line
+has letters or not, unless it ends with terminal punctuation or with a whole line that other
+documents have too. Cuts in mid transfer leave no spike; such a text is cut if a mark of a
+cut follows an open sentence, or if its last line is prose without an end: neither list item, address, code nor signature,
 nor a line that stands whole elsewhere: followed by other lines in at least two texts, or at
 the end of at least ``SITE_SHARE`` of the source's texts, those at a spike aside. Texts that
 differ in their last line only, or not at all, count once: copies of a cut text are one witness.
@@ -149,7 +149,7 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     few = site.count() <= BROADCAST_FORMS
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("form") == F.col("_f"))
     joined = joined.join(F.broadcast(site) if few else site, on, "left").withColumn("known", F.coalesce("known", "site"))
-    cut = F.col("open") & (F.col("sure") | (F.col("known").isNull() & F.col("form").isNotNull()))
+    cut = F.col("open") & (F.col("sure") | (F.col("known").isNull() & (F.col("form").isNotNull() | F.col("spike"))))
     return joined.select(F.col("key").alias(key), F.col("source").alias(source), "filled", F.coalesce(cut, F.lit(False)).alias("cut"))
 
 
