@@ -79,3 +79,18 @@ def test_large_batch_leaves_the_next_one_whole(spark, tmp_path, monkeypatch):
     for name in ("1", ".1.crc"):  # the last batch runs again
         (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
     assert run() == (list(range(7)), 7)
+
+
+def test_store_queries_use_the_store(spark, tmp_path, monkeypatch):
+    from verbarium.plans import reference
+
+    docs(spark, [(3, "cat"), (1, "dog"), (2, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    used = []
+    for name in ("bulk_load", "scan", "get", "keys", "size"):
+        real = getattr(DocStore, name)
+        monkeypatch.setattr(DocStore, name, lambda *a, _real=real, _name=name: used.append(_name) or _real(*a))
+    got = {q: [tuple(r) for r in getattr(reference, f"docstore_{q}")(spark, str(tmp_path)).collect()] for q in ("scan", "get", "keys", "size")}
+    assert sorted(got["scan"]) == [(1, "dog"), (3, "cat")]
+    assert (got["get"], got["keys"], got["size"]) == ([(1, "dog")], [(1,), (2,), (3,)], [(3,)])
+    assert used.count("bulk_load") == 1
+    assert {"scan", "get", "keys", "size"} <= set(used)

@@ -12,7 +12,8 @@ from verbarium.functions.text import analyzer, tokenize_naive, tokenize_punctuat
 from verbarium.functions.wordbreak import clean_dictionary, load_dictionary, word_break
 from verbarium.operators import graph, search
 from verbarium.operators.index import TextIndex
-from verbarium.sources.docstore import latest
+from verbarium.session import scratch_path
+from verbarium.sources.docstore import DocStore, latest
 from verbarium.sources.files import page_parts
 from verbarium.sources.tables import table
 
@@ -89,24 +90,35 @@ def wordbreak_japanese(spark, d):
 # --- store ---
 
 
+_stores: dict[tuple, DocStore] = {}
+
+
+def _store(spark: SparkSession, d: str) -> DocStore:
+    """The documents in a store in the scratch folder, loaded once per application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores:
+        _stores[key] = DocStore.bulk_load(table(spark, d, "documents"), scratch_path(spark, "store"))
+    return _stores[key]
+
+
 def docstore_scan(spark, d):
-    """All documents as the store gives them."""
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    """All documents with a text as the store gives them."""
+    return _store(spark, d).scan().filter("text is not null")
 
 
 def docstore_get(spark, d):
-    """One document by its key: the median key of the table."""
-    docs = table(spark, d, "documents")
-    key = docs.agg(F.min("doc_id").alias("k"))
-    return docs.join(F.broadcast(key), F.col("doc_id") == F.col("k")).select("doc_id", "text")
+    """One document by its key: the smallest key of the store."""
+    store = _store(spark, d)
+    first = store.keys().first()
+    return store.get(first.doc_id if first else None)
 
 
 def docstore_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id")
+    return _store(spark, d).keys()
 
 
 def docstore_size(spark, d):
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_store(spark, d).size(),)], "n bigint")
 
 
 def docstore_upsert(spark, d):
