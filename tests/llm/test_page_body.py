@@ -66,6 +66,11 @@ def test_prefix_of_one_host_in_a_large_collection(spark):
     assert not got & turn
 
 
+def test_pages_without_a_host_vote(spark):
+    rows = [(i, None, f"{i}\nno address\nWelcome to the reading room\nThe {'abcdefghij'[i]}{'klmnopqrst'[i]} lantern reads a list.") for i in range(10)]
+    assert pairs(article_line_numbers(table(spark, rows))) == {(i, 4) for i in range(10)}
+
+
 def test_articles(spark):
     rows, want = sample(40)
     texts = {r.page_id: r.article for r in articles(table(spark, rows)).collect()}

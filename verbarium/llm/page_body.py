@@ -14,8 +14,8 @@ Then each page is read again with the winning templates: frame lines, link lists
 that point elsewhere go; a title that ends a link list just before its text stays.
 
 Defined cases: null texts and pages of only an id and url line have no article; exact
-duplicate rows count once; a null site is taken from the url line, and else is a host of its
-own; blank lines are never article.
+duplicate rows count once; a null site is taken from the url line, and pages that have none
+there either vote together as one host, named by an empty text; blank lines are never article.
 """
 
 from __future__ import annotations
@@ -275,7 +275,7 @@ def _with_model(pages: DataFrame, model: DataFrame, work: Callable, schema: str)
 def parsed(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
     """The distinct pages with the codes of their lines, parsed once, as a table."""
     url_host = F.regexp_extract(F.element_at(F.split(F.col(text), "\n"), 2), r"^\s*[a-z]+://([^/\s:]+)", 1)
-    host = F.coalesce(F.col(site), F.when(F.size(F.split(F.col(text), "\n")) > 1, F.nullif(url_host, F.lit(""))))
+    host = F.coalesce(F.col(site), F.when(F.size(F.split(F.col(text), "\n")) > 1, F.nullif(url_host, F.lit(""))), F.lit(""))
     once = pages.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("page_id"), host.alias("host"), F.col(text).alias("text")).distinct()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
