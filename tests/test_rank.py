@@ -11,45 +11,46 @@ def order(df):
 
 
 def test_order_of_scores(spark):
-    index = build(spark, ["An apple a day keeps the doctor away", "One rotten apple spoils the whole barrel", "the rotten door"], 1, STEMMED)
-    assert order(search.search_tfidf(index, ["apple", "apple", "rotten"])) == [1, 0, 2]
+    # Both words, then the one asked for twice, then the other; three segments.
+    index = build(spark, ["moss grows on the wall", "lichens and moss share a stone", "some lichen"], 1, STEMMED)
+    assert order(search.search_tfidf(index, ["moss", "lichens", "moss"])) == [1, 0, 2]
 
 
 def test_formula(spark):
-    texts = ["cat dog", "cat elephant", "wolf dog dog", "cat dog dog"]
-    index = build(spark, texts, 3, NAIVE)
-    query = ["cat", "dog", "dog"]
-    idf = {t: math.log10(4 / sum(t in x.split() for x in texts) + 1) for t in ("cat", "dog")}
+    texts = ["flute", "drum flute oboe", "oboe drum drum drum", "flute flute drum", "harp"]
+    index = build(spark, texts, 2, NAIVE)
+    query = ["drum", "flute", "drum"]
+    idf = {t: math.log10(5 / sum(t in x.split() for x in texts) + 1) for t in ("drum", "flute")}
     want = {}
-    for i, x in enumerate(texts):
+    for i, x in enumerate(texts[:4]):
         w = {t: x.split().count(t) * idf[t] for t in idf}
         want[i] = sum(w[t] * idf[t] * query.count(t) for t in idf) / math.sqrt(sum(v * v for v in w.values()))
     got = {r.key: r.score for r in search.search_tfidf(index, query).collect()}
     assert got == pytest.approx(want)
-    assert order(search.search_tfidf(index, query, 3)) == [3, 0, 2]
+    assert order(search.search_tfidf(index, query, 3)) == sorted(want, key=lambda i: (-want[i], i))[:3]
 
 
 def test_limits_and_unknown_words(spark):
-    index = build(spark, ["cat dog", "dog"])
-    assert order(search.search_tfidf(index, ["dog"], 0)) == []
+    index = build(spark, ["pear fig", "fig"])
+    assert order(search.search_tfidf(index, ["fig"], 0)) == []
     assert order(search.search_tfidf(index, ["nothing"])) == []
     assert order(search.search_tfidf(index, ["the"])) == []
-    assert order(search.search_tfidf(index, ["dog"], 99)) == [0, 1]
+    assert order(search.search_tfidf(index, ["fig"], 99)) == [0, 1]
 
 
 def test_deleted_documents_are_no_hits(spark):
-    index = build(spark, ["cat dog", "dog"]).delete("cat")
-    assert order(search.search_tfidf(index, ["dog"])) == [1]
-    assert order(search.search_tfidf(index, ["dog"], include_deleted=True)) == [0, 1]
+    index = build(spark, ["pear fig", "fig"]).delete("pear")
+    assert order(search.search_tfidf(index, ["fig"])) == [1]
+    assert order(search.search_tfidf(index, ["fig"], include_deleted=True)) == [0, 1]
 
 
 def test_batch_equals_single_queries(spark):
-    index = build(spark, ["cat dog", "dog dog bird", "bird cat", "whale"])
-    queries = spark.createDataFrame([(1, ["cat", None, "dog"], 2), (2, ["bird"], None), (3, None, 5), (4, ["the"], 5)], "query_id int, keywords array<string>, top_k int")
+    index = build(spark, ["pear fig", "fig fig lime", "lime pear", "plum"])
+    queries = spark.createDataFrame([(1, ["pear", None, "fig"], 2), (2, ["lime"], None), (3, None, 5), (4, ["the"], 5)], "query_id int, keywords array<string>, top_k int")
     got = {}
     for r in search.search_batch(index, queries).orderBy("query_id", "place").collect():
         got.setdefault(r.query_id, []).append(r.key)
-    assert got == {1: order(search.search_tfidf(index, ["cat", "dog"], 2)), 2: order(search.search_tfidf(index, ["bird"]))}
+    assert got == {1: order(search.search_tfidf(index, ["pear", "fig"], 2)), 2: order(search.search_tfidf(index, ["lime"]))}
 
 
 def ranks(edges, nodes, steps, damping=0.85):
@@ -89,9 +90,9 @@ def test_pagerank_of_nothing(spark):
 
 
 def test_combined_rank(spark):
-    index = build(spark, ["cat dog", "dog", "dog bird"])
+    index = build(spark, ["pear fig", "fig", "fig lime"])
     pr = spark.createDataFrame([(0, 1.0), (2, 5.0)], "node bigint, score double")
-    plain = {r.key: r.score for r in search.search_tfidf(index, ["cat", "dog"]).collect()}
-    assert {r.key: r.score for r in search.search_combined(index, ["cat", "dog"], pr, 0.0).collect()} == pytest.approx(plain)
-    assert order(search.search_combined(index, ["dog"], pr, 1000.0)) == [2, 0, 1]
-    assert order(search.search_combined(index, ["dog"], pr, 1000.0, top_k=99)) == [2, 0, 1]
+    plain = {r.key: r.score for r in search.search_tfidf(index, ["pear", "fig"]).collect()}
+    assert {r.key: r.score for r in search.search_combined(index, ["pear", "fig"], pr, 0.0).collect()} == pytest.approx(plain)
+    assert order(search.search_combined(index, ["fig"], pr, 1000.0)) == [2, 0, 1]
+    assert order(search.search_combined(index, ["fig"], pr, 1000.0, top_k=99)) == [2, 0, 1]
