@@ -116,7 +116,49 @@ def test_save_and_open(spark, tmp_path):
     assert again.positional and again.n_segments() == 2
     assert keys(search.search_keyword(again, "dog")) == [1]
     plan = again.postings.filter("seg_id = 1 and term = 'dog'").select("tf")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(seg_id" in plan and "EqualTo(term,dog)" in plan
+    assert "EqualTo(seg_id,1)" in plan and "EqualTo(term,dog)" in plan
+
+
+def files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_stored_index_keeps_its_catalogue_and_deletions(spark, tmp_path):
+    path = tmp_path / "index"
+    index = build(spark, ["fern moss", "moss", "reed"], per_segment=2).save(str(path))
+    before = files(path)
+    grown = index.append(spark.createDataFrame([(7, "fern"), (8, None), (9, "fern reed"), (10, "moss")], "doc_id bigint, text string"), per_segment=2)
+    after = files(path)
+    assert all(after[f] == t for f, t in before.items())  # what was there isn't written again
+    assert {(r.seg_id, r.n_docs) for r in grown.segments().collect()} == {(0, 2), (1, 1), (2, 2), (3, 1)}
+    assert keys(search.search_keyword(grown, "fern")) == [0, 7, 9]
+    grown.delete("reed").delete("reed")
+    again = TextIndex.open(spark, str(path), PLAIN)
+    assert keys(search.search_keyword(again, "fern")) == [0, 7]
+    assert again.tombstones.count() == 2 and again.n_documents(1) == 1
+    # A merge leaves a segment without documents in the catalogue, and numbers without gaps.
+    merged = again.delete("fern").merge_pairs()
+    assert {(r.seg_id, r.n_docs) for r in merged.segments().collect()} == {(0, 1), (1, 1)}
+    assert {(r.seg_id, r.doc_id, r.key) for r in merged.documents.collect()} == {(0, 0, 1), (1, 0, 10)}
+    with pytest.raises(ValueError):
+        merged.append(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
+
+
+def test_merge_with_and_without_deletions_equals_rebuilding(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["elm", "oak", "yew", "fir", "ash"]) for _ in range(rng.randrange(1, 5))) for _ in range(40)]
+    texts[3] = texts[17] = "rowan oak"
+    index = build(spark, texts, per_segment=5).delete("rowan")
+    kept = [i for i in range(40) if i not in (3, 17)]
+    merged = index.merge_pairs()
+    assert {(r.seg_id, r.key) for r in merged.documents.collect()} == {(i // 10, i) for i in kept}
+    for seg in range(4):
+        place = {i: k for k, i in enumerate(i for i in kept if i // 10 == seg)}
+        want = {}
+        for i in place:
+            for pos, w in enumerate(texts[i].split()):
+                want.setdefault(w, {}).setdefault(place[i], []).append(pos)
+        assert dump(merged, seg) == {w: (list(d), list(d.values())) for w, d in want.items()}
 
 
 def test_and_or(spark):
@@ -180,6 +222,21 @@ def test_writer_flushes_and_merges_by_itself(spark):
     assert keys(search.search_keyword(writer.index, "cat")) == list(range(9))
 
 
+def test_a_flush_writes_its_own_segments_only(spark):
+    writer = IndexWriter(TextIndex.empty(spark, analyze=PLAIN), flush_docs=3, merge_at=None)
+    from pathlib import Path
+
+    seen, grown = {}, []
+    for i in range(4):
+        writer.add(spark.createDataFrame([(10 * i + k, f"leaf branch{k}") for k in range(3)], "doc_id bigint, text string"))
+        now = files(Path(writer.index.path))
+        assert all(now[f] == t for f, t in seen.items())
+        grown.append(len(now) - len(seen))
+        seen = now
+    assert len(set(grown[1:])) == 1
+    assert writer.index.n_segments() == 4 and len(keys(search.search_keyword(writer.index, "leaf"))) == 12
+
+
 def test_sql(spark):
     register(spark)
     index = build(spark, ["the cats", "cat dog"], analyze=STEMMED)

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,18 +111,33 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_tokens(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: None if t is None else [stem(w) for w in t])
+def _stems(words: pa.Array) -> pa.Array:
+    """The stem of each word; every distinct word of the batch is looked at once."""
+    coded = pc.dictionary_encode(words)
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    return stems.take(coded.indices)
 
 
-@F.pandas_udf(T.StringType())
-def _stem_words(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: None if w is None else stem(w))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stem_tokens(tokens: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(tokens), _stems(tokens.flatten()))
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    """The offsets of the flattened lists, null for a null list."""
+    sizes = lists.value_lengths()
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int32)
+    null = np.append(sizes.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.array(np.concatenate([np.zeros(1, dtype=np.int32), ends]), pa.int32(), mask=null)
+
+
+@F.arrow_udf(T.StringType())
+def _stem_words(words: pa.Array) -> pa.Array:
+    return _stems(words)
 
 
 def stem_tokens(tokens: Column) -> Column:
-    """Each token's stem; every worker keeps the stems of the words it met last."""
+    """Each token's stem, by the distinct words of each Arrow batch; every worker keeps the stems of the words it met last."""
     return _stem_tokens(tokens)
 
 

@@ -6,11 +6,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbarium.session import materialize
+from verbarium.session import drop_path, materialize, store
 
 
 #: Links of one source that stay together; those of a source with more are spread over groups.
 LINKS_PER_GROUP = 1_000_000
+#: Steps in one job, where no step's change has to be known.
+STEPS_PER_JOB = 5
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
@@ -34,9 +36,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 100, damping:
     Repeated links are counted before the join. The links are partitioned by source once, those
     of a hot source by several groups to which its score is copied, and kept so for all
     steps; each step moves only the scores and the partial sums by target, so a hot target
-    costs one row per task. Each step's scores are written to the shared
-    folder, which keeps plans short; kept links that are lost with an executor are read
-    again from there.
+    costs one row per task. The scores are written to the shared folder after every
+    ``STEPS_PER_JOB`` steps, or each step if its change decides, which keeps plans short; older
+    ones are removed. Kept links that are lost with an executor are read again from there.
     """
     spark = edges.sparkSession
     links = valid_edges(edges, nodes)
@@ -49,17 +51,24 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 100, damping:
     names = nodes.select("node").distinct().join(degree.select(F.col("src").alias("node"), "groups"), "node", "left")
     names = materialize(names.select("node", F.coalesce("groups", F.lit(1)).alias("groups")), "nodes")
     scores = names.withColumn("score", F.lit(1.0))
+    stored = None
     try:
-        for _ in range(iterations):
+        for i in range(1, iterations + 1):
             copies = scores.select("node", "score", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups").cast("bigint") - 1)).alias("copy"))
             sums = weights.join(copies, (F.col("src") == F.col("node")) & (F.col("g") == F.col("copy"))).groupBy("dst").agg(F.sum(F.col("weight") * F.col("score")).alias("s"))
             step = names.join(sums, F.col("node") == F.col("dst"), "left").select("node", "groups", (F.lit(1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
-            step = materialize(step, "scores")
-            if tolerance is not None:
-                change = step.alias("a").join(scores.alias("b"), "node").agg(F.sum(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
-                if change is None or change < tolerance:
-                    return step.select("node", "score")
+            done = i == iterations
+            if tolerance is not None or done or i % STEPS_PER_JOB == 0:
+                step, path = store(step, "scores")
+                if tolerance is not None:
+                    change = step.alias("a").join(scores.alias("b"), "node").agg(F.sum(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
+                    done = done or change is None or change < tolerance
+                if stored:
+                    drop_path(spark, stored)
+                stored = path
             scores = step
+            if done:
+                break
         return scores.select("node", "score")
     finally:
         weights.unpersist()

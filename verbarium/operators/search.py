@@ -18,6 +18,8 @@ from verbarium.operators.running import running_total
 from verbarium.session import materialize
 
 _ID = ["seg_id", "doc_id"]
+#: Distinct terms of a batch of queries, and pairs of query and term, up to which they are broadcast, about 10 MB.
+BROADCAST_TERMS = 100_000
 
 
 def query_terms(index: TextIndex, words: list[str], analyze: Analyzer | None = None) -> list[str]:
@@ -169,21 +171,24 @@ def search_combined(
 def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id", words: str = "keywords", top_k: str = "top_k", digits: int = 6) -> DataFrame:
     """TF-IDF of many queries at once: ``query_id, seg_id, doc_id, key, score, place``.
 
-    Null words are left out, a null ``top_k`` gives all hits. Each task keeps only the best
-    of each limited query before the last shuffle; the hits of unlimited ones are numbered
-    over many tasks, so a query that hits most documents is no matter.
+    Null words are left out, a null ``top_k`` gives all hits. The postings are read once, for
+    the queries' terms alone, and scored where they are unless the queries have more than
+    ``BROADCAST_TERMS`` terms. Each task keeps only the best of each limited query before the
+    last shuffle; the hits of unlimited ones are numbered over many tasks, so a query that
+    hits most documents is no matter.
     """
     text = F.array_join(F.filter(F.col(words), lambda x: x.isNotNull()), " ")
     terms = queries.select(F.col(query_id).alias("query_id"), F.col(top_k).alias("k"), F.explode(index.analyze(text)).alias("term")).groupBy("query_id", "k", "term").agg(F.count(F.lit(1)).alias("n_query"))
+    terms = materialize(terms, "terms")
+    hint = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda x: x
     n = index.documents.agg(F.count(F.lit(1)).alias("n"))
-    wanted = terms.select("term").distinct()
-    df = index.postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = materialize(index.postings.select(*_ID, "term", "tf").join(hint(terms.select("term").distinct()), "term", "left_semi"), "hits")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", _idf(F.col("n"), F.col("df")).alias("idf"))
     weighted = terms.join(idf, "term")
     weight = F.col("tf") * F.col("idf")
     scored = (
-        index.postings.select(*_ID, "term", "tf")
-        .join(weighted, "term")
+        hits.join(hint(weighted), "term")
         .groupBy("query_id", "k", *_ID)
         .agg(F.sum(weight * F.col("idf") * F.col("n_query")).alias("dot"), F.sum(weight * weight).alias("square"))
         .select("query_id", "k", *_ID, F.round(F.col("dot") / F.sqrt("square"), digits).alias("score"))

@@ -61,9 +61,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def path_bytes(spark: SparkSession, path: str) -> int:
+def has_path(spark: SparkSession, path: str) -> bool:
     p, fs = _hadoop_path(spark, path)
-    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+    return fs.exists(p)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -72,10 +72,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage and, unlike a local checkpoint, survives lost executors. The
     table stays until the application's scratch folder is removed by ``clear_scratch``.
     """
+    return store(df, label)[0]
+
+
+def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, with the table's folder for a ``drop_path`` once its last reader is done."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def clear_scratch(spark: SparkSession) -> None:

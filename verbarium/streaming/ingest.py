@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verbarium.functions.text import Analyzer, analyzer
-from verbarium.operators.index import FLUSH_DOCS, TextIndex, build_postings, no_tombstones, number_documents
-from verbarium.session import _hadoop_path
+from verbarium.operators.index import FLUSH_DOCS, TextIndex, _numbered, build_postings, write_batch
+from verbarium.session import _hadoop_path, has_path
 
 #: Largest segment number.
 LAST_SEGMENT = (1 << 31) - 1
@@ -29,10 +29,11 @@ def _first_segment(spark: SparkSession, path: str, batch_id: int, count: int) ->
             return first
     if taken:
         first = max(f + n for _, f, n in taken)
-    else:  # an index without a log may have segments
-        stored, files = _hadoop_path(spark, f"{path}/documents")
-        names = [x.getPath().getName() for x in files.listStatus(stored)] if files.exists(stored) else []
-        first = max((int(x.removeprefix("seg_id=")) + 1 for x in names if x.startswith("seg_id=")), default=0)
+    elif has_path(spark, f"{path}/segments"):  # an index without a log
+        last = spark.read.parquet(f"{path}/segments").agg(F.max("seg_id")).first()[0]
+        first = 0 if last is None else last + 1
+    else:
+        first = 0
     if first + count - 1 > LAST_SEGMENT:
         raise OverflowError(f"batch {batch_id}: no segment numbers are left from {first} on")
     fs.mkdirs(_hadoop_path(spark, f"{path}/batches/{batch_id}_{first}_{count}")[0])
@@ -43,8 +44,8 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, analyze: Analyzer | None
     """Write a stream of ``doc_id, text`` to the index at ``path``.
 
     A batch of any size gets the segment numbers after those of the batches before it. They
-    are logged and replaced if the batch runs again, so a restart neither loses nor repeats
-    documents. Documents are searchable once their batch is written.
+    are logged, and its folder is written anew if the batch runs again, so a restart neither
+    loses nor repeats documents. Documents are searchable once their batch is written.
     """
     analyze = analyze or analyzer()
 
@@ -53,15 +54,12 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, analyze: Analyzer | None
         if not count:
             return
         first = _first_segment(batch.sparkSession, path, batch_id, count)
-        documents = number_documents(batch, per_segment=per_segment, first_segment=first)
-        for name, table in (("documents", documents), ("postings", build_postings(documents, analyze).sortWithinPartitions("seg_id", "term"))):
-            table.write.partitionBy("seg_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
+        documents, catalogue = _numbered(batch, "doc_id", "text", per_segment, first)
+        write_batch(path, first, documents, build_postings(documents, analyze), catalogue)
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def open_stream_index(spark: SparkSession, path: str, analyze: Analyzer | None = None) -> TextIndex:
-    """The index as it stands; deletions are kept by the caller."""
-    documents = spark.read.parquet(f"{path}/documents").select(F.col("seg_id").cast("int"), "doc_id", "key", "text")
-    postings = spark.read.parquet(f"{path}/postings").select(F.col("seg_id").cast("int"), "term", "doc_id", "tf", "positions")
-    return TextIndex(documents, postings, no_tombstones(spark), analyze or analyzer())
+    """The index as it stands, with the deletions that were stored there."""
+    return TextIndex.open(spark, path, analyze)
