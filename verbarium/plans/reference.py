@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbarium.functions.codec import decode_fixed, decode_gaps, encode_fixed, encode_gaps
-from verbarium.functions.porter import stem_tokens
+from verbarium.functions.porter import DERIVED, LATINATE, QUALITY, stem_tokens
 from verbarium.functions.stopwords import STOP_WORDS
 from verbarium.functions.text import analyzer, tokenize_naive, tokenize_punctuation
 from verbarium.functions.wordbreak import clean_dictionary, load_dictionary, word_break
@@ -14,7 +14,7 @@ from verbarium.operators import graph, search
 from verbarium.operators.index import TextIndex
 from verbarium.session import scratch_path
 from verbarium.sources.docstore import DocStore, latest
-from verbarium.sources.files import page_parts
+from verbarium.sources.files import page_parts, read_corpus, read_dictionary, read_links, read_urls, write_corpus, write_lines
 from verbarium.sources.tables import table
 
 PER_SEGMENT = 100
@@ -58,8 +58,8 @@ def stopword_filtered_count(spark, d):
 
 
 def stemmed_df(spark, d):
-    """Document frequency of each stem."""
-    terms = F.explode(F.array_distinct(STEMMED(F.col("text")))).alias("term")
+    """Document frequency of each stem; a document's distinct tokens are stemmed."""
+    terms = F.explode(F.array_distinct(stem_tokens(F.array_distinct(PLAIN(F.col("text")))))).alias("term")
     return table(spark, d, "documents").select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -67,24 +67,36 @@ def wordbreak_en(spark, d):
     """The queries' keywords run together and broken into words again; null if that is not possible."""
     words = load_dictionary(clean_dictionary(table(spark, d, "word_dict"), "en"))
     joined = F.array_join(F.filter("keywords", lambda x: x.isNotNull()), "")
-    return table(spark, d, "ranked_queries").select("query_id", joined.alias("joined")).withColumn("words", word_break(spark, F.col("joined"), words, on_unbreakable="null"))
+    broken = word_break(spark, F.col("joined"), words, on_unbreakable="null")
+    return table(spark, d, "ranked_queries").select("query_id", joined.alias("joined")).select("query_id", "joined", F.array_join(broken, " ").alias("words"))
+
+
+_HAN, _KANA = "\\x{4e00}-\\x{9fff}", "\\x{3041}-\\x{30ff}"
+
+
+def _runs(spark, d, japanese: bool):
+    """``run, n``: runs of Chinese characters in lines without kana, or of both in lines with kana, by the script, as ``lang`` may be wrong."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    kana = F.col("line").rlike(f"[{_KANA}]")
+    signs = f"[{_KANA}{_HAN}]+" if japanese else f"[{_HAN}]+"
+    runs = F.explode(F.regexp_extract_all("line", F.lit(signs), F.lit(0))).alias("run")
+    return lines.filter(kana if japanese else ~kana).select(runs).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _broken(spark, d, lang: str):
+    words = load_dictionary(clean_dictionary(table(spark, d, "word_dict"), lang, lower=False))
+    each = _runs(spark, d, lang == "ja").select("n", F.explode(word_break(spark, F.col("run"), words, cjk=True)).alias("word"))
+    return each.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def wordbreak_cjk(spark, d):
-    """Words of every run of Chinese characters in Chinese documents, and how often each occurs."""
-    words = load_dictionary(clean_dictionary(table(spark, d, "word_dict"), "zh", lower=False))
-    runs = F.explode(F.regexp_extract_all("text", F.lit("[\\u4e00-\\u9fff]+"), F.lit(0))).alias("run")
-    docs = table(spark, d, "documents").filter(F.lower("lang").startswith("zh"))
-    distinct = docs.select(runs).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    return distinct.select("n", F.explode(word_break(spark, F.col("run"), words, cjk=True)).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
+    """Words of every run of Chinese characters in lines without kana, and how often each occurs."""
+    return _broken(spark, d, "zh")
 
 
 def wordbreak_japanese(spark, d):
-    words = load_dictionary(clean_dictionary(table(spark, d, "word_dict"), "ja", lower=False))
-    runs = F.explode(F.regexp_extract_all("text", F.lit("[\\u3041-\\u30ff\\u4e00-\\u9fff]+"), F.lit(0))).alias("run")
-    docs = table(spark, d, "documents").filter(F.lower("lang").startswith("ja") | F.lower("lang").startswith("jp"))
-    distinct = docs.select(runs).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    return distinct.select("n", F.explode(word_break(spark, F.col("run"), words, cjk=True)).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
+    """Words of every run of Japanese characters in lines with kana, and how often each occurs."""
+    return _broken(spark, d, "ja")
 
 
 # --- store ---
@@ -126,15 +138,46 @@ def docstore_upsert(spark, d):
     return latest(table(spark, d, "web_corpus").select("page_id", "text", "crawled_at"), "page_id", "crawled_at").select("page_id", "text")
 
 
+_written: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, d: str, name: str, write) -> str:
+    """A folder in the scratch folder that ``write(folder)`` fills once per application and tables."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _written:
+        folder = scratch_path(spark, name)
+        write(folder)
+        _written[key] = folder
+    return _written[key]
+
+
 def corpus_pages(spark, d):
-    """Id, url and body of the distinct pages."""
-    return page_parts(table(spark, d, "web_corpus").filter("text is not null").select("text").distinct())
+    """Id, url and body of each page, from a crawl folder of one file a page."""
+    pages = docstore_upsert(spark, d)
+    return page_parts(read_corpus(spark, _files(spark, d, "crawl", lambda folder: write_corpus(pages, folder))))
+
+
+def link_file(spark, d):
+    """The links as they come back from a file of tab-separated lines."""
+    return read_links(spark, _files(spark, d, "links", lambda path: write_lines(table(spark, d, "id_graph"), path, "src", "dst")))
+
+
+def url_file(spark, d):
+    """The addresses as they come back from a file of tab-separated lines."""
+    return read_urls(spark, _files(spark, d, "urls", lambda path: write_lines(table(spark, d, "url_map"), path, "id", "url")))
+
+
+def dictionary_file(spark, d):
+    """The English words and frequencies as they come back from a file with a byte-order mark before each word."""
+    words = clean_dictionary(table(spark, d, "word_dict"), "en").filter(~F.col("word").rlike(r"\s")).withColumn("word", F.concat(F.lit("\ufeff"), "word"))
+    path = _files(spark, d, "dictionary", lambda path: write_lines(words, path, "word", "freq", sep=" "))
+    return read_dictionary(spark, path, "en").select("word", F.round("freq", 6).alias("freq"))
 
 
 def page_urls(spark, d):
-    """Every address of the pages that have a text."""
+    """Every address of the pages that have a text, from the file of addresses."""
     pages = table(spark, d, "web_corpus").filter("text is not null").select("page_id").distinct()
-    urls = table(spark, d, "url_map").filter("url is not null").distinct()
+    urls = url_file(spark, d).filter("url is not null").distinct()
     return pages.join(urls, F.col("page_id") == F.col("id")).select("page_id", "url")
 
 
@@ -283,6 +326,12 @@ def pagerank_10(spark, d):
     return _pagerank(spark, d).select("node", F.round("score", 6).alias("score"))
 
 
+def pagerank_converged(spark, d):
+    """The scores once a step changes them by less than 1 in sum, of at most 30 steps."""
+    scores = graph.pagerank(table(spark, d, "id_graph"), _nodes(spark, d), 30, tolerance=1.0)
+    return scores.select("node", F.round("score", 6).alias("score"))
+
+
 def pagerank_top(spark, d):
     return graph.ranked(_pagerank(spark, d).select("node", F.round("score", 6).alias("score"))).limit(20)
 
@@ -311,6 +360,16 @@ def delta_varlen_encode(spark, d):
     return _lists(spark, d).select("seg_id", "term", F.hex(encode_gaps(F.col("doc_ids"))).alias("code"))
 
 
+def delta_varlen_keys(spark, d):
+    """Codes of the keys, whose gaps take up to three bytes, of each term's documents in a segment, and what they decode to, from the start and from beyond the end."""
+    index = _index(spark, d)
+    keys = index.postings.join(index.documents.select("seg_id", "doc_id", "key"), ["seg_id", "doc_id"])
+    lists = keys.groupBy("seg_id", "term").agg(F.sort_array(F.collect_list(F.col("key").cast("int"))).alias("ids"))
+    code = encode_gaps(F.col("ids"))
+    text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+    return lists.select("seg_id", "term", F.hex(code).alias("code"), text(decode_gaps(code)).alias("keys"), text(decode_gaps(code, 100_000, 4)).alias("beyond"))
+
+
 def codec_roundtrip(spark, d):
     """Document lists after encoding and decoding by either codec."""
     back = [F.array_join(F.transform(x, lambda v: v.cast("string")), ",") for x in (decode_fixed(encode_fixed(F.col("doc_ids"))), decode_gaps(encode_gaps(F.col("doc_ids"))))]
@@ -327,12 +386,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_naive_tokens, tokenize_punct_tokens, stopword_filtered_count, stemmed_df, wordbreak_en, wordbreak_cjk, wordbreak_japanese,
-        docstore_scan, docstore_get, docstore_keys, docstore_size, docstore_upsert, corpus_pages, page_urls,
+        docstore_scan, docstore_get, docstore_keys, docstore_size, docstore_upsert, corpus_pages, link_file, url_file, dictionary_file, page_urls,
         segment_assign, postings_build, positions_build, num_docs_by_segment, num_segments, doc_freq_by_segment, doc_freq, segment_dump,
         segment_dump_positions, delete_tombstones, delete_live_documents, segment_merge_pairs, delete_then_merge_postings,
         full_scan_search, keyword_search, and_search, and_search_missing_term, or_search, phrase_search, phrase_search_3, phrase_repeated_word,
         phrase_search_deleted, tfidf_all, tfidf_top10, tfidf_dup_query_terms, tfidf_batch, stemmed_tfidf_top10,
-        out_degree, pagerank_10, pagerank_top, pagerank_best, combined_rank, naive_encode, delta_varlen_encode, codec_roundtrip, compression_ratio,
+        out_degree, pagerank_10, pagerank_converged, pagerank_top, pagerank_best, combined_rank, naive_encode, delta_varlen_encode, delta_varlen_keys, codec_roundtrip, compression_ratio,
     )
 }
 
@@ -397,12 +456,95 @@ x0 AS (SELECT node, 1.0::DOUBLE AS score FROM nodes)"""
     return ",\n".join(parts)
 
 
+def _converged(steps: int, tolerance: float) -> str:
+    """The first step that changes the scores by less than ``tolerance`` in sum, or the last."""
+    change = " UNION ALL ".join(
+        f"SELECT {i} AS i, (SELECT sum(abs(a.score - b.score)) FROM x{i} a JOIN x{i - 1} b USING (node)) AS c" for i in range(1, steps + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT {i} AS i, node, score FROM x{i}" for i in range(1, steps + 1))
+    return f"""{_ranks(steps)},
+change AS ({change}), every AS ({every})
+SELECT node, round(score, 6) AS score FROM every WHERE i = (SELECT coalesce(min(i) FILTER (c < {tolerance}), {steps}) FROM change)"""
+
+
+def _broken_sql(texts: str, lang: str, lower: bool, forward: bool) -> str:
+    """CTEs ``texts(run, ...)``, ``best(run, words)``: the best way to break each run by dynamic programming over its edges."""
+    trimmed = "regexp_replace(word, '^[\\s\\x{a0}\\x{3000}\\x{feff}\\x{200b}]+|[\\s\\x{a0}\\x{3000}\\x{feff}\\x{200b}]+$', '', 'g')"
+    word = f"lower({trimmed})" if lower else trimmed
+    source, target, start, order = ("i", "j", 1, "i, j") if forward else ("j", "i", "len(run) + 1", "i DESC, j")
+    path = "path[i + 1] || word || ' '" if forward else "word || ' ' || path[j + 1]"
+    end = "len(run) + 1" if forward else "1"
+    better = f"score[{source} + 1] IS NOT NULL AND (score[{target} + 1] IS NULL OR score[{source} + 1] + lp > score[{target} + 1] + 1e-12)"
+    put = lambda old, new: f"list_transform({old}, lambda x, z: CASE WHEN z = {target} + 1 AND {better} THEN {new} ELSE x END)"
+    return f"""WITH RECURSIVE {texts},
+freqs AS (SELECT {word} AS word, sum(freq) AS f FROM word_dict WHERE lang = '{lang}' AND freq > 0 AND NOT isnan(freq) GROUP BY 1),
+dict AS MATERIALIZED (SELECT word, ln(f / (SELECT sum(f) FROM freqs WHERE word <> '')) AS lp FROM freqs WHERE word <> ''),
+once AS MATERIALIZED (SELECT DISTINCT {'lower(run)' if lower else 'run'} AS run FROM texts WHERE run <> ''),
+places AS (SELECT run, unnest(range(len(run))) AS i FROM once),
+pieces AS (SELECT run, i, i + unnest(range(1, least(len(run) - i, (SELECT max(len(word)) FROM dict)) + 1)) AS j FROM places),
+edges AS MATERIALIZED (
+    SELECT run, i, j, word, lp, row_number() OVER (PARTITION BY run ORDER BY {order}) AS k
+    FROM pieces JOIN dict ON word = substr(run, i + 1, j - i)),
+steps AS (
+    SELECT run, 0 AS k, list_transform(range(1, len(run) + 2), lambda x: CASE WHEN x = {start} THEN 0.0::DOUBLE END) AS score,
+        list_transform(range(1, len(run) + 2), lambda x: CASE WHEN x = {start} THEN '' END) AS path FROM once
+    UNION ALL
+    SELECT run, e.k, {put('score', f'score[{source} + 1] + lp')}, {put('path', path)} FROM steps s JOIN edges e USING (run) WHERE e.k = s.k + 1),
+best AS (
+    SELECT run, CASE WHEN score[{end}] IS NOT NULL THEN list_filter(string_split(path[{end}], ' '), lambda x: x <> '' AND x NOT IN ({_STOP_LIST})) END AS words
+    FROM steps WHERE k = (SELECT count(*) FROM edges e WHERE e.run = steps.run))"""
+
+
+def _cjk_sql(lang: str) -> str:
+    kana, signs = f"[{_KANA}]", f"[{_KANA}{_HAN}]+" if lang == "ja" else f"[{_HAN}]+"
+    texts = f"""lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+texts AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '{signs}')) AS run FROM lines WHERE {'' if lang == 'ja' else 'NOT '}regexp_matches(line, '{kana}')) GROUP BY run)"""
+    return _broken_sql(texts, lang, False, True) + f"""
+SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, unnest(coalesce(words, CASE WHEN run IN ({_STOP_LIST}) THEN [] ELSE [run] END)) AS word FROM texts JOIN best USING (run)) GROUP BY word"""
+
+
+_CONS, _VOWS = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_SOME = f"'^({_CONS})?{_VOWS}{_CONS}'"
+_TWO = f"'^({_CONS})?{_VOWS}{_CONS}{_VOWS}{_CONS}'"
+_ONE = f"'^({_CONS})?{_VOWS}{_CONS}({_VOWS})?$'"
+_VOWEL = f"'^({_CONS})?[aeiouy]'"
+_SHORT = f"'^{_CONS}[aeiouy][^aeiouwxy]$'"
+
+
+def _stems_sql(words: str) -> str:
+    """CTEs up to ``stems(term, stem)`` of the distinct ``term`` of ``words``, by regular expressions; a leading y is written Y, a consonant."""
+
+    def mapped(last: str, this: str, table: dict[str, str], measure: str, more: str = "TRUE") -> str:
+        cases = " ".join(f"WHEN '{e}' THEN '{r}'" for e, r in table.items())
+        ends = "|".join(table)
+        return f"""{this} AS (SELECT term, CASE WHEN e <> '' AND regexp_matches(b, {measure}) AND {more} THEN b || CASE e {cases} END ELSE w END AS w
+    FROM (SELECT *, w[:len(w) - len(e)] AS b FROM (SELECT term, w, regexp_extract(w, '(?:{ends})$') AS e FROM {last})))"""
+
+    return f"""
+p0 AS (SELECT DISTINCT term, CASE WHEN term[1] = 'y' THEN 'Y' || term[2:] ELSE term END AS w FROM {words}),
+p1 AS (SELECT term, CASE WHEN w LIKE '%sses' THEN w[:-3] WHEN w LIKE '%ies' THEN w[:-4] || 'i' WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END AS w FROM p0),
+p2 AS (SELECT term, w, CASE WHEN w LIKE '%eed' THEN NULL WHEN w LIKE '%ed' THEN w[:-3] WHEN w LIKE '%ing' THEN w[:-4] END AS b FROM p1),
+p3 AS (SELECT term, CASE
+    WHEN w LIKE '%eed' THEN CASE WHEN regexp_matches(w[:-4], {_SOME}) THEN w[:-2] ELSE w END
+    WHEN b IS NULL OR NOT regexp_matches(b, {_VOWEL}) THEN w
+    WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e'
+    WHEN len(b) > 1 AND b[-1] = b[-2] AND b[-1] NOT IN ('a', 'e', 'i', 'o', 'u') THEN CASE WHEN b[-1] IN ('l', 's', 'z') THEN b ELSE b[:-2] END
+    WHEN regexp_matches(b, {_ONE}) AND regexp_matches(b, {_SHORT}) THEN b || 'e' ELSE b END AS w FROM p2),
+p4 AS (SELECT term, CASE WHEN w LIKE '%y' AND regexp_matches(w[:-2], {_VOWEL}) THEN w[:-2] || 'i' ELSE w END AS w FROM p3),
+{mapped('p4', 'p5', DERIVED, _SOME)},
+{mapped('p5', 'p6', QUALITY, _SOME)},
+{mapped('p6', 'p7', dict.fromkeys(LATINATE, ''), _TWO, "(e <> 'ion' OR b[-1] IN ('s', 't'))")},
+p8 AS (SELECT term, CASE WHEN w LIKE '%e' AND (regexp_matches(w, {_TWO}) OR (regexp_matches(w, {_ONE}) AND NOT regexp_matches(w[:-2], {_SHORT}))) THEN w[:-2] ELSE w END AS w FROM p7),
+stems AS (SELECT term, CASE WHEN len(term) <= 2 THEN term ELSE replace(CASE WHEN w LIKE '%ll' AND regexp_matches(w, {_TWO}) THEN w[:-2] ELSE w END, 'Y', 'y') END AS stem FROM p8)"""
+
+
 _RANKS = _ranks(DAMPED_STEPS)
 _LAST = f"x{DAMPED_STEPS}"
 _LISTS = f"{_POS}, lists2 AS (SELECT seg_id, term, list(doc_id ORDER BY doc_id) AS ids FROM post GROUP BY seg_id, term)"
 _FIXED = "array_to_string(list_transform(ids, lambda x: printf('%08X', x)), '')"
 _GAPS = "list_transform(range(1, len(ids) + 1), lambda i: ids[i] - CASE WHEN i = 1 THEN 0 ELSE ids[i - 1] END)"
 _CODED = f"array_to_string(list_transform({_GAPS}, lambda g: CASE WHEN g < 128 THEN printf('%02X', g) ELSE printf('%02X%02X', 128 + (g >> 7), g & 127) END), '')"
+_WIDE = " ".join(f"WHEN g < {1 << 7 * k} THEN printf('{'%02X' * k}', {', '.join(f'{128 if p else 0} + ((g >> {7 * p}) & 127)' for p in range(k - 1, -1, -1))})" for k in range(1, 5))
 _TEXT_IDS = "array_to_string(ids, ',')"
 _MERGED = """,
 padded AS (
@@ -419,6 +561,34 @@ ORACLE = {
         WITH t AS (SELECT doc_id, {_KEPT} AS t FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, unnest(t) AS term, (generate_subscripts(t, 1) - 1)::INT AS pos FROM t""",
     "stopword_filtered_count": f"SELECT doc_id, len({_PIECES})::INT AS n_all, len({_KEPT})::INT AS n_kept FROM documents WHERE text IS NOT NULL",
+    "stemmed_df": f"""
+        WITH each AS (SELECT DISTINCT doc_id, unnest({_KEPT}) AS term FROM documents WHERE text IS NOT NULL),{_stems_sql('each')}
+        SELECT stem AS term, count(DISTINCT doc_id) AS df FROM each JOIN stems USING (term) GROUP BY stem""",
+    "stemmed_tfidf_top10": f"""{_SEG},
+        lists AS (SELECT seg_id, doc_id, {_KEPT} AS t FROM seg),
+        each AS (SELECT seg_id, doc_id, unnest(t) AS term FROM lists),{_stems_sql('each')},
+        post AS (SELECT seg_id, doc_id, stem AS term, count(*) AS tf FROM each JOIN stems USING (term) GROUP BY ALL),
+        idf AS (SELECT term, log10((SELECT count(*) FROM seg) / count(*) + 1) AS idf FROM post GROUP BY term),
+        scored AS (SELECT seg_id, doc_id, round(sum(tf * idf * idf) / sqrt(sum(tf * idf * tf * idf)), 6) AS score
+                   FROM post JOIN idf USING (term) WHERE term IN ('post', 'segment') GROUP BY ALL)
+        SELECT seg_id, doc_id, key, score FROM scored JOIN seg USING (seg_id, doc_id) ORDER BY score DESC, seg_id, doc_id LIMIT 10""",
+    "wordbreak_en": _broken_sql("texts AS (SELECT query_id, array_to_string(list_filter(keywords, lambda x: x IS NOT NULL), '') AS run FROM ranked_queries)", "en", True, False) + """
+        SELECT query_id, t.run AS joined, CASE WHEN t.run = '' THEN '' ELSE array_to_string(words, ' ') END AS words FROM texts t LEFT JOIN best b ON b.run = lower(t.run)""",
+    "wordbreak_cjk": _cjk_sql("zh"),
+    "wordbreak_japanese": _cjk_sql("ja"),
+    "link_file": "SELECT src, dst FROM id_graph",
+    "url_file": "SELECT id, nullif(url, '') AS url FROM url_map",
+    "dictionary_file": """
+        SELECT word, round(sum(freq), 6) AS freq FROM (
+            SELECT lower(regexp_replace(word, '^[\\s\\x{a0}\\x{3000}\\x{feff}\\x{200b}]+|[\\s\\x{a0}\\x{3000}\\x{feff}\\x{200b}]+$', '', 'g')) AS word, freq FROM word_dict
+            WHERE lang = 'en' AND freq > 0 AND NOT isnan(freq))
+        WHERE word <> '' AND NOT regexp_matches(word, '\\s') GROUP BY word""",
+    "pagerank_converged": _converged(30, 1.0),
+    "delta_varlen_keys": _POS + f"""
+        , lists2 AS (SELECT seg_id, term, list(key ORDER BY key) AS ids FROM post JOIN seg USING (seg_id, doc_id) GROUP BY seg_id, term)
+        SELECT seg_id, term, array_to_string(list_transform({_GAPS}, lambda g: CASE {_WIDE} END), '') AS code, {_TEXT_IDS} AS keys,
+            array_to_string(list_filter([0], lambda x: FALSE), ',') AS beyond
+        FROM lists2""",
     "docstore_scan": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
     "docstore_get": "SELECT doc_id, text FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)",
     "docstore_keys": "SELECT doc_id FROM documents",
@@ -427,9 +597,10 @@ ORACLE = {
         SELECT page_id, text FROM web_corpus
         QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY crawled_at DESC NULLS LAST, text DESC NULLS LAST) = 1""",
     "corpus_pages": """
-        WITH p AS (SELECT DISTINCT text FROM web_corpus WHERE text IS NOT NULL),
+        WITH p AS (SELECT text FROM web_corpus
+            QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY crawled_at DESC NULLS LAST, text DESC NULLS LAST) = 1),
         l AS (SELECT list_transform(string_split(text, chr(10)), lambda x: rtrim(regexp_replace(x, chr(13) || '$', ''), ' ')) AS l FROM p)
-        SELECT try_cast(l[1] AS BIGINT) AS page_id, l[2] AS url, array_to_string(l[3:], chr(10)) AS body FROM l""",
+        SELECT try_cast(l[1] AS BIGINT) AS page_id, l[2] AS url, array_to_string(l[3:], chr(10)) AS body FROM l WHERE l IS NOT NULL""",
     "page_urls": """
         SELECT page_id, url FROM (SELECT DISTINCT page_id FROM web_corpus WHERE text IS NOT NULL)
         JOIN (SELECT DISTINCT id, url FROM url_map WHERE url IS NOT NULL) ON page_id = id""",
