@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verbarium.functions.wordbreak import Dictionary, UnbreakableError, break_cjk, break_words, clean_dictionary, load_dictionary, word_break
+from verbarium.functions.wordbreak import Dictionary, UnbreakableError, break_cjk, break_words, clean_dictionary, load_dictionary, word_break, word_break_joined
 
 D = Dictionary({"the": 80.0, "mill": 6.0, "by": 70.0, "stream": 9.0, "sea": 4.0, "seas": 3.0, "hell": 1.0, "shell": 5.0, "and": 60.0, "we": 20.0, "are": 25.0})
 ZH = Dictionary({"看": 5.0, "图书": 8.0, "书馆": 2.0, "图书馆": 6.0, "的": 9.0, "灯": 3.0})
@@ -83,3 +83,14 @@ def test_dictionary_table_and_column(spark):
     df = spark.createDataFrame([("catDog",), ("cow",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(word_break(spark, F.col("t"), load_dictionary(words), on_unbreakable="null")).collect()]
     assert got == [["cat", "dog"], None, [], None]
+
+
+def test_joined_dictionary_breaks_alike(spark):
+    rows = [("the", 80.0), ("mill", 6.0), ("by", 70.0), ("stream", 9.0), ("sea", 4.0), ("seas", 3.0), ("hell", 1.0), ("shell", 5.0)]
+    words = spark.createDataFrame(rows, "word string, freq double")
+    texts = ["TheMillByTheStream", "seashell", "seashells", "", None, "mill", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.words for r in word_break_joined(df.union(df), words, "t", on_unbreakable="null").collect()}
+    want = {r.t: r.w for r in df.filter("t is not null").select("t", word_break(spark, F.col("t"), load_dictionary(words), on_unbreakable="null").alias("w")).collect()}
+    assert got == want and got["seashell"] == ["sea", "shell"]
+    assert [r.words for r in word_break_joined(spark.createDataFrame([("millx",)], "t string"), words, "t", cjk=True).collect()] == [["millx"]]

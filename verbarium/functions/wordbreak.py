@@ -29,8 +29,18 @@ class Dictionary:
 
     def __init__(self, freq: dict[str, float]):
         total = sum(freq.values())
-        self.log_p = {w: math.log(f / total) for w, f in freq.items() if f > 0}
-        self.longest = max(map(len, self.log_p), default=0)
+        self._set({w: math.log(f / total) for w, f in freq.items() if f > 0})
+
+    def _set(self, log_p: dict[str, float]) -> None:
+        self.log_p = log_p
+        self.longest = max(map(len, log_p), default=0)
+
+    @classmethod
+    def of(cls, log_p: dict[str, float]) -> Dictionary:
+        """From logarithms of probabilities."""
+        d = cls.__new__(cls)
+        d._set(log_p)
+        return d
 
     def segment(self, text: str, tie: str = "first") -> list[str]:
         """The best segmentation; of equal ones that with the shorter (``last``: longer) words first."""
@@ -107,7 +117,7 @@ def clean_dictionary(lines: DataFrame, lang: str, lower: bool = True) -> DataFra
 
 
 def load_dictionary(words: DataFrame) -> Dictionary:
-    """The dictionary on the driver; a table above ``MAX_WORDS`` is refused."""
+    """The dictionary on the driver; a table above ``MAX_WORDS`` is refused and left to ``word_break_joined``."""
     rows = words.limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
         raise ValueError(f"a dictionary of more than {MAX_WORDS} words")
@@ -120,18 +130,45 @@ def word_break(
     """The words of each text; with ``on_unbreakable='null'`` a text that can't be broken gives null."""
     shared = spark.sparkContext.broadcast(dictionary)
 
-    def one(t: str | None) -> list[str] | None:
-        if t is None:
-            return None
-        try:
-            return break_cjk(shared.value, t) if cjk else break_words(shared.value, t, tie, on_empty)
-        except UnbreakableError:
-            if on_unbreakable == "error":
-                raise
-            return None
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        return texts.map(lambda t: _broken(shared.value, t, cjk, tie, on_empty, on_unbreakable))
 
     return run(text)
+
+
+def _broken(d: Dictionary, text: str | None, cjk: bool, tie: str, on_empty: str, on_unbreakable: str) -> list[str] | None:
+    if text is None:
+        return None
+    try:
+        return break_cjk(d, text) if cjk else break_words(d, text, tie, on_empty)
+    except UnbreakableError:
+        if on_unbreakable == "error":
+            raise
+        return None
+
+
+def word_break_joined(
+    texts: DataFrame, words: DataFrame, text: str = "text", cjk: bool = False, tie: str = "first", on_empty: str = "empty", on_unbreakable: str = "error"
+) -> DataFrame:
+    """``text, words`` of each distinct text, for a dictionary of any size.
+
+    Nothing is broadcast: the pieces of the texts, up to the length of the longest word, are
+    joined with the words, and each text is broken by the words found in it.
+    """
+    total, longest = words.agg(F.sum("freq"), F.max(F.length("word"))).first()
+    listed = words.filter("freq > 0").select("word", F.log(F.col("freq") / F.lit(total or 1.0)).alias("log_p"))
+    once = texts.select(F.col(text).alias("text")).filter("text is not null").distinct()
+    whole = F.col("text") if cjk else F.lower("text")
+    at = once.select("text", whole.alias("whole"), F.explode(F.sequence(F.lit(1), F.length(whole))).alias("i")).filter("i <= length(whole)")
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest or 1), F.length("whole") - F.col("i") + 1)))
+    pieces = at.select("text", "whole", "i", lengths.alias("n")).select("text", F.expr("substring(whole, i, n)").alias("word")).distinct()
+    known = pieces.join(listed, "word").groupBy("text").agg(F.collect_list(F.struct("word", "log_p")).alias("known"))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([
+            _broken(Dictionary.of({x["word"]: x["log_p"] for x in (k if k is not None else ())}), t, cjk, tie, on_empty, on_unbreakable) for t, k in zip(texts, known)
+        ])
+
+    return once.join(known, "text", "left").select(F.col("text").alias(text), run("text", "known").alias("words"))
