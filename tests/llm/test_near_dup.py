@@ -84,8 +84,48 @@ def test_hot_shingles_in_blocks_lose_nothing(spark, monkeypatch):
     assert pairs(similar_pairs(table(spark, rows), width=3, threshold=0.5, min_words=40)) == want
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rng = random.Random(3)
+    texts = ["İstanbul K9 straße ΟΔΟΣ x", "", "!?", "a" * 999 + " b", " ".join(rng.choice(["cat", "Dog", "字", "w1", "éa", "z" * 70]) for _ in range(400)), "q" * 300]
+    for size in (1 << 20, 64, 7, 1):
+        monkeypatch.setattr(near_dup, "HASH_BYTES", size)
+        seen = {}
+        for t in texts:
+            data = np.frombuffer(t.lower().encode(), dtype=np.uint8)
+            starts, hashes = near_dup.word_hashes(data)
+            found = words(t)
+            assert len(found) == len(hashes)
+            for w, x, at in zip(found, hashes.tolist(), starts.tolist()):
+                assert data[at : at + len(w)].tobytes().decode() == w
+                assert seen.setdefault(w, x) == x
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_sets_of_a_batch_are_those_of_its_texts():
+    rows = sample(5, 20)
+    texts = [t or "" for _, t in rows]
+    for width, least in ((3, 40), (1, 0), (5, 0)):
+        s, bounds, used = near_dup.shingle_sets(texts, width, least)
+        one = {i: x.tolist() for i, t in enumerate(texts) if (x := near_dup.shingles(t, width, least)) is not None}
+        assert {int(i): s[a:b].tolist() for i, a, b in zip(used, bounds, bounds[1:])} == one
+
+
+def test_counters_hold_any_count_and_a_full_sketch_tells_common_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SKETCH_BITS", 6)
+    monkeypatch.setattr(near_dup, "FLUSH_SHINGLES", 1000)
+    # 140,000 documents of one word out of 64 * 1,000 and one that all have.
+    df = spark.range(0, 140_000, 1, 2).selectExpr("id AS key", "concat('common w', id % 64000) AS text")
+    first, _ = near_dup._first_pass(df, 1, 0)
+    q = near_dup._sketch(first)
+    common = int(near_dup.shingles("common", 1, 0)[0] >> np.uint64(58))
+    most = near_dup.counted_at_most(q)
+    assert 138_000 <= most[common] <= 170_000
+    # The others have 2,200 documents a counter, but no shingle of theirs is taken for one of as many.
+    assert max(np.delete(most, common)) < 700 and q.max() == q[common]
+
+
 def test_blocks_pair_every_two_documents_once():
-    q = np.array([3, 200, 200, 40], dtype=np.uint8)
+    q = near_dup.written_count(np.array([3, 60_000, 60_000, 40]))
     tok = np.array([1, 2, 3, 4], dtype=np.uint64)
     seen = {}
     for key in range(200):
@@ -156,3 +196,10 @@ def test_empty_table_and_repeated_rows(spark):
 def test_cost_asks_for_more_when_shingles_are_common():
     assert choose_matches(np.ones(200, dtype=np.uint8), 101) == 1
     assert choose_matches(np.full(200, 50, dtype=np.uint8), 101) > 4
+
+
+@pytest.mark.parametrize("n", [1, 3, 16, 40])
+def test_ranges_are_dealt_evenly(spark, n):
+    labels = near_dup._even_labels(spark, n)
+    df = spark.createDataFrame([(x,) for x in labels], "to int").repartition(n, "to")
+    assert sorted(df.groupBy(near_dup.F.spark_partition_id()).count().collect()) == [(i, 1) for i in range(n)]

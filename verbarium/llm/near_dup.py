@@ -5,7 +5,9 @@ of at least ``threshold``. The join uses adaptive multi-match prefixes:
 
 1. One pass counts shingles in a sketch of fixed size (``SKETCH_BITS``), which gives all
    documents one order of shingles, rare ones first, and tells those that surely occur in
-   one document only. Copies with equal sets are put into classes; one of each class goes on.
+   one document only. What the median counter has is taken off, so that common shingles
+   stand out however full the sketch is. Copies with equal sets are put into
+   classes; one of each class goes on.
 2. A document's prefix is its first n - ceil(t n) + l shingles. ``l`` is chosen by the
    estimated cost of the prefix' postings and of the candidates that l shared shingles leave.
    Matching documents of n and m shingles share a >= t/(1+t) (n+m), so their first l common
@@ -14,7 +16,8 @@ of at least ``threshold``. The join uses adaptive multi-match prefixes:
    whatever the sketch holds.
 3. Candidates are verified on their full sets.
 
-Postings travel as sorted arrays by ranges of the shingles' hashes, not as rows. A shingle of
+Postings travel as sorted arrays by ranges of the shingles' hashes, not as rows; the ranges
+are dealt evenly to the tasks. A shingle of
 very many documents is split: its documents fall into blocks, and each pair of blocks is a
 group of its own, so no task gets more than two blocks of it.
 
@@ -31,14 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm.words import WORD
-from verbarium.session import materialize
+from verbarium.session import drop_path, materialize, store
 
 #: Counters of the sketch, one byte each where it is broadcast: 16 MB whatever the input.
 SKETCH_BITS = 24
 _SLICE_BITS = 16
-#: Postings that a task keeps before it passes them on.
-FLUSH_POSTINGS = 1_000_000
+#: Postings, and shingles, that a task keeps before it passes them on or counts them.
+FLUSH_POSTINGS, FLUSH_SHINGLES = 1_000_000, 2_000_000
+#: Bytes of text whose words are hashed at once, and that are made into sets at once.
+HASH_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+#: Tasks for the ranges of postings; beyond, a task has several ranges, one after the other.
+MAX_RANGE_TASKS = 20_000
 #: Bytes of postings in one range, about, and by shingle.
 RANGE_BYTES, POSTING_BYTES = 16 << 20, 10
 #: Documents of one token that meet in one group; more common tokens are split into pairs of blocks.
@@ -49,7 +55,8 @@ BROADCAST_KEYS = 500_000
 PAIR_BLOCK = 128
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_cache: dict[str, int] = {}
+_WORD_BYTES = np.zeros(256, dtype=np.int8)
+_WORD_BYTES[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,117 +65,200 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, width: int, min_words: int) -> np.ndarray | None:
-    """The sorted distinct hashes of a text's word sequences; None for a short text."""
-    import xxhash
-
-    found = WORD.findall(text.lower())
-    if len(found) < max(min_words, width):
-        return None
-    if len(_cache) > 2_000_000:
-        _cache.clear()
-    get, h = _cache.get, np.empty(len(found), dtype=np.uint64)
-    for i, w in enumerate(found):
-        x = get(w)
-        if x is None:
-            x = _cache[w] = xxhash.xxh3_64_intdigest(w)
-        h[i] = x
+#: A word's hash is the polynomial of its bytes' values at ``_BASE``, an odd number, which has an inverse.
+_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * _A)
+_BASE = 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """The powers of the base and of its inverse, at least ``n`` of them."""
+    if len(_powers[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, HASH_BYTES + 1), x, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The start and hash of each word in lower-cased UTF-8 bytes, a stretch of whole words at a time."""
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + HASH_BYTES)
+        while end < len(data):  # to the end of the word
+            blanks = np.flatnonzero(_WORD_BYTES[data[end - 1 : end + HASH_BYTES]] == 0)
+            if len(blanks):
+                end += int(blanks[0]) - 1 if blanks[0] else 0
+                break
+            end = min(len(data), end + HASH_BYTES)
+        part = data[at:end]
+        inside = np.zeros(len(part) + 2, dtype=np.int8)
+        inside[1:-1] = _WORD_BYTES[part]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        power, inverse = _powers_to(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_VALUES[part] * power[: len(part)], out=sums[1:])
+        starts.append(first + at)
+        hashes.append((sums[last] - sums[first]) * inverse[first])
+        at = end
+    none = np.zeros(0, dtype=np.uint64)
+    return np.concatenate([none.astype(np.int64), *starts]), np.concatenate([none, *hashes])
+
+
+def shingle_sets(texts: list[str], width: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of the word sequences of all texts, the bounds of each text's own, and the texts' numbers; short texts are left out."""
+    parts = [t.lower().encode() for t in texts]
+    begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    starts, h = word_hashes(np.frombuffer(b" ".join(parts), dtype=np.uint8))
+    bounds = np.searchsorted(starts, begin)
+    n_words = np.diff(bounds)
+    used = np.flatnonzero(n_words >= max(min_words, width, 1))
+    if not len(used):
+        return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), used
     n = len(h) - width + 1
-    s = h[:n].copy()
+    s = h[:n]
     for k in range(1, width):
         s = _mixed(s * _A + h[k : k + n] * _B + _C)
-    return np.unique(s)
+    ends = np.cumsum(n_words[used] - width + 1)
+    all_s = np.empty(ends[-1], dtype=np.uint64)
+    new = np.zeros(len(all_s), dtype=bool)
+    a = 0
+    for x, b in zip(bounds[used].tolist(), ends.tolist()):
+        all_s[a:b] = s[x : x + b - a]
+        all_s[a:b].sort()
+        new[a] = True
+        a = b
+    new[1:] |= all_s[1:] != all_s[:-1]
+    return all_s[new], np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(new)[ends - 1]]), used
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
-    for i, v in enumerate(batch.column("text")):
-        if v.is_valid:
-            yield i, v.as_py()
+def shingles(text: str, width: int, min_words: int) -> np.ndarray | None:
+    """The sorted distinct hashes of one text; None for a short text."""
+    s, _, used = shingle_sets([text], width, min_words)
+    return s if len(used) else None
 
 
-def _first_pass(docs: DataFrame, width: int, min_words: int) -> DataFrame:
-    """``key, size, h1, h2`` of each document, and ``slice, blob`` of each task's sketch."""
+def _batches(batch: pa.RecordBatch, width: int, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``shingle_sets`` of a batch's texts, some MB at a time, with the numbers of their rows."""
+    rows, texts, held = [], [], 0
+    for i, v in enumerate(batch.column("text")):
+        if not v.is_valid:
+            continue
+        rows.append(i), texts.append(v.as_py())
+        held += len(texts[-1])
+        if held >= BATCH_BYTES:
+            s, bounds, used = shingle_sets(texts, width, min_words)
+            yield s, bounds, np.asarray(rows)[used]
+            rows, texts, held = [], [], 0
+    if texts:
+        s, bounds, used = shingle_sets(texts, width, min_words)
+        yield s, bounds, np.asarray(rows)[used]
+
+
+def _first_pass(docs: DataFrame, width: int, min_words: int) -> tuple[DataFrame, str]:
+    """``key, size, h1, h2`` of each document, and ``slice, blob`` of each task's sketch; and the table's folder."""
     import zlib
 
     names = ["key", "size", "h1", "h2", "slice", "blob"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    bits = SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+        counts = np.zeros(1 << bits, dtype=np.uint16)
+        over: dict[int, int] = {}  # what exceeds the 16 bits of a counter, in steps of 2^16
         waiting: list[np.ndarray] = []
         held = 0
 
         def flush() -> None:
-            at, n = np.unique(np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            at = at.astype(np.int64)
-            counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
+            at, n = np.unique((np.concatenate(waiting) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+            now = counts[at].astype(np.int64) + n
+            counts[at] = now & 0xFFFF
+            for i in np.flatnonzero(now >> 16):
+                over[int(at[i])] = over.get(int(at[i]), 0) + int(now[i] >> 16)
             waiting.clear()
 
         for batch in batches:
-            rows, sizes, h1, h2 = [], [], [], []
-            for i, text in _texts(batch):
-                s = shingles(text, width, min_words)
-                if s is None:
+            for s, bounds, rows in _batches(batch, width, min_words):
+                if not len(rows):
                     continue
-                rows.append(i), sizes.append(len(s))
-                h1.append(int(np.bitwise_xor.reduce(_mixed(s))) - (1 << 63)), h2.append(int(_mixed(s + _A).sum(dtype=np.uint64)) - (1 << 63))
+                h1 = np.bitwise_xor.reduceat(_mixed(s), bounds[:-1]).view(np.int64)
+                h2 = np.add.reduceat(_mixed(s + _A), bounds[:-1]).view(np.int64)
+                none = pa.nulls(len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(rows, pa.int64())), pa.array(np.diff(bounds).astype(np.int32)), pa.array(h1), pa.array(h2), none.cast(pa.int32()), none.cast(pa.binary())],
+                    names=names,
+                )
                 waiting.append(s)
                 held += len(s)
-                if held > 2_000_000:
+                if held > FLUSH_SHINGLES:
                     flush()
                     held = 0
-            none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-                names=names,
-            )
         if waiting:
             flush()
-        step = 1 << _SLICE_BITS
+        step = 1 << min(bits, _SLICE_BITS)
+
+        def row(i: int, values: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, None, i // step, zlib.compress(values.tobytes(), 1)], types)], names=names)
+
         for i in range(0, len(counts), step):
             if counts[i : i + step].any():
-                values = [None, None, None, None, i >> _SLICE_BITS, zlib.compress(counts[i : i + step].tobytes(), 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+                yield row(i, counts[i : i + step])
+        for at, n in over.items():
+            part = np.zeros(step, dtype=np.uint16)
+            for rest in range(n << 16, 0, -65535):
+                part[at % step] = min(rest, 65535)
+                yield row(at - at % step, part)
+
+    return store(docs.mapInArrow(run, "key bigint, size int, h1 bigint, h2 bigint, slice int, blob binary"), "sketch")
+
 
-    return materialize(docs.mapInArrow(run, "key bigint, size int, h1 bigint, h2 bigint, slice int, blob binary"), "sketch")
+#: The sketch is written in bytes: counts to 63, then six steps to each doubling.
+_EXACT, _STEPS = 64, 6
+
+
+def written_count(n: np.ndarray) -> np.ndarray:
+    log = _EXACT + np.floor(_STEPS * np.log2(np.maximum(n, _EXACT) / _EXACT) + 1e-9)
+    return np.where(n < _EXACT, n, np.minimum(log, 255)).astype(np.uint8)
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up, one byte a counter."""
+    """The tasks' sketches added up, one byte a counter, without what a usual counter of the slice has."""
     import zlib
 
-    step = 1 << _SLICE_BITS
+    bits = SKETCH_BITS
+    step = 1 << min(bits, _SLICE_BITS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, blob in zip(batch.column("slice").to_pylist(), batch.column("blob")):
                 part = np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint16)
-                sums[s] = sums.get(s, 0) + part.astype(np.uint32)
+                sums[s] = sums.get(s, 0) + part.astype(np.int64)
         for s, n in sums.items():
-            # Exact to 127, then eight steps to each doubling.
-            log = 128 + np.floor(8 * np.log2(np.maximum(n, 128) / 128))
-            q = np.where(n < 128, n, np.minimum(log, 255)).astype(np.uint8)
+            usual = int(np.median(n))  # of the many rare shingles; the common ones hardly move it
+            q = written_count(np.where(n > 1, np.maximum(n - usual, 2), n))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(q.tobytes(), 1)], pa.binary())], names=["slice", "blob"])
 
     spread = first.filter("slice is not null").select("slice", "blob").repartition("slice")
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    sketch = np.zeros(1 << bits, dtype=np.uint8)
     for r in spread.mapInArrow(add, "slice int, blob binary").toLocalIterator():  # 16 MB at most, part by part
         sketch[r.slice * step : (r.slice + 1) * step] = np.frombuffer(zlib.decompress(r.blob), dtype=np.uint8)
     return sketch
 
 
-def choose_matches(q: np.ndarray, prefix: int) -> int:
+def choose_matches(counts: np.ndarray, prefix: int) -> int:
     """How many shared shingles to ask for: the cheapest of 1, 2, 4, ... up to an eighth of the document.
 
-    ``q`` are the shingles' counts, rare first; a longer prefix costs its postings, and
+    ``counts`` are those of the shingles, rare first; a longer prefix costs its postings, and
     leaves at most postings / l candidates, each of which costs a part of a verification.
     """
-    n = len(q)
-    cost = np.cumsum(np.maximum(q.astype(np.int64) - 1, 0))
+    n = len(counts)
+    cost = np.cumsum(np.maximum(counts.astype(np.float64) - 1, 0))
     best, least, l = 1, None, 1
     while l <= max(1, n // 8):
-        scan = int(cost[min(n, prefix + l - 1) - 1])
+        scan = float(cost[min(n, prefix + l - 1) - 1])
         c = scan + scan / l * n / 16
         if least is None or c < least:
             best, least = l, c
@@ -176,9 +266,12 @@ def choose_matches(q: np.ndarray, prefix: int) -> int:
     return best
 
 
+#: The largest count that each byte of the sketch stands for.
+_AT_MOST = np.where(np.arange(256) < _EXACT, np.arange(256), _EXACT * 2.0 ** ((np.arange(256) - _EXACT + 1) / _STEPS))
+
+
 def counted_at_most(q: np.ndarray) -> np.ndarray:
-    """The largest count that the sketch writes as ``q``."""
-    return np.where(q < 128, q, 128 * 2.0 ** ((q.astype(np.float64) - 127) / 8))
+    return _AT_MOST[q]
 
 
 def split_hot(tok: np.ndarray, q: np.ndarray, pos: np.ndarray, key: int, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +300,7 @@ def split_hot(tok: np.ndarray, q: np.ndarray, pos: np.ndarray, key: int, block:
 
 def _postings(docs: DataFrame, sketch, width: int, min_words: int, threshold: float, bits: int) -> DataFrame:
     """``part, docs, posts``: arrays of (key, size, l) and of (token, document, place), by ranges of tokens."""
+    sketch_bits = SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_of = sketch.value
@@ -234,26 +328,24 @@ def _postings(docs: DataFrame, sketch, width: int, min_words: int, threshold: fl
 
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            for i, text in _texts(batch):
-                s = shingles(text, width, min_words)
-                if s is None:
-                    continue
-                n = len(s)
-                q = q_of[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.argsort(q, kind="stable")  # s is sorted, so ties are in the order of the hash
-                s, q = s[order], q[order]
-                prefix = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                l = choose_matches(q, prefix)
-                end = min(n, prefix + l - 1)
-                first = int(np.searchsorted(q[:end], 2))  # a count of 1: no other document has it
-                tok, pos = split_hot(s[first:end], q[first:end], np.arange(first, end), keys[i], HOT_BLOCK)
-                tokens.append(tok), owners.append(np.full(len(tok), len(table))), places.append(pos)
-                table.append((keys[i], n, l))
-                held += len(tok)
-                if held > FLUSH_POSTINGS:
-                    yield from flush()
-                    table.clear(), tokens.clear(), owners.clear(), places.clear()
-                    held = 0
+            for all_s, bounds, rows in _batches(batch, width, min_words):
+                all_q = q_of[(all_s >> np.uint64(64 - sketch_bits)).astype(np.int64)]
+                for i, a, b in zip(rows.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    s, q, n = all_s[a:b], all_q[a:b], b - a
+                    order = np.argsort(q, kind="stable")  # s is sorted, so ties are in the order of the hash
+                    q = q[order]
+                    prefix = n - int(np.ceil(threshold * n - 1e-9)) + 1
+                    l = choose_matches(_AT_MOST[q], prefix)
+                    end = min(n, prefix + l - 1)
+                    first = int(np.searchsorted(q[:end], 2))  # a count of 1: no other document has it
+                    tok, pos = split_hot(s[order[first:end]], q[first:end], np.arange(first, end), keys[i], HOT_BLOCK)
+                    tokens.append(tok), owners.append(np.full(len(tok), len(table))), places.append(pos)
+                    table.append((keys[i], n, l))
+                    held += len(tok)
+                    if held > FLUSH_POSTINGS:
+                        yield from flush()
+                        table.clear(), tokens.clear(), owners.clear(), places.clear()
+                        held = 0
         if held:
             yield from flush()
 
@@ -292,7 +384,25 @@ def count_pairs(
             found, held = [], 0
 
 
-def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
+def _even_labels(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that Spark's hash partitioning deals to ``n`` partitions one each."""
+    at, found, labels = 0, 0, [0] * n
+    missing = set(range(n))
+    while missing:
+        rows = spark.range(at, at + 8 * n, 1, 1).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
+        for r in rows.groupBy("p").agg(F.min("x").alias("x")).toLocalIterator():  # n rows at most
+            if r.p in missing:
+                missing.discard(r.p)
+                labels[r.p] = r.x
+        at += 8 * n
+    return labels
+
+
+def _candidates(postings: DataFrame, threshold: float, bits: int) -> DataFrame:
+    tasks = min(1 << bits, MAX_RANGE_TASKS)
+    labels = F.array(*[F.lit(x) for x in _even_labels(postings.sparkSession, tasks)])
+    dealt = postings.withColumn("to", F.get(labels, F.col("part") % tasks)).repartition(tasks, "to")
+
     def pairs(table: pa.Table) -> pa.Table:
         toks, owners, places, rows, base = [], [], [], [], 0
         for n, docs, posts in zip(*(table.column(c).to_pylist() for c in ("n", "docs", "posts"))):
@@ -310,7 +420,7 @@ def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 4
         return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["a", "b", "n", "need"])
 
-    counted = postings.groupBy("part").applyInArrow(pairs, "a bigint, b bigint, n bigint, need bigint")
+    counted = dealt.groupBy("to", "part").applyInArrow(pairs, "a bigint, b bigint, n bigint, need bigint")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
 
 
@@ -323,16 +433,9 @@ def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sets = [], []
-            for i, text in _texts(batch):
-                s = shingles(text, width, min_words)
-                if s is not None:
-                    rows.append(i), sets.append(s.view(np.int64))
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["key", "set"]
-            )
+            for s, bounds, rows in _batches(batch, width, min_words):
+                sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), sets], names=["key", "set"])
 
     return docs.mapInArrow(run, "key bigint, set array<bigint>")
 
@@ -343,18 +446,19 @@ def similar_classes(
     """``key, class`` of each document (a class is its smallest key of equal sets), and ``a, b`` of matching classes."""
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    first = _first_pass(base, width, min_words)
+    first, folder = _first_pass(base, width, min_words)
     same = ["size", "h1", "h2"]
     one = F.min(F.struct(*same)).alias("s")
     members = first.filter("key is not null").groupBy("key").agg(one).select("key", "s.*")
     heads = members.groupBy(*same).agg(F.min("key").alias("class"))
     classes = materialize(members.join(heads, same).select("key", "class", "size"), "classes")
-    total = classes.agg(F.sum("size")).first()[0] or 0
+    total = first.agg(F.sum("size")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1, total * POSTING_BYTES / RANGE_BYTES)))))
     heads_only = _only(base, classes.filter("key <> class").select("key"), "left_anti")
     sketch = spark.sparkContext.broadcast(_sketch(first))
+    drop_path(spark, folder)
     postings = _postings(heads_only, sketch, width, min_words, threshold, bits)
-    candidates = materialize(_candidates(postings, threshold), "candidates")
+    candidates = materialize(_candidates(postings, threshold, bits), "candidates")
     involved = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = materialize(_sets(_only(base, involved, "left_semi"), width, min_words).dropDuplicates(["key"]), "sets")
     shared = F.size(F.array_intersect("x", "y"))

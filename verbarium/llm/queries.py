@@ -181,8 +181,17 @@ shingles AS (
     FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 40)
 ),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a AS doc_id_a, b AS doc_id_b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 2 * k >= x.n + y.n - k"""
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b, k = x.n AND k = y.n AS equal FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 2 * k >= x.n + y.n - k)"""
+
+#: Classes are documents of equal sets, groups the components of all pairs.
+_GROUPS = f"""
+WITH RECURSIVE {_SIMILAR.split('WITH ', 1)[1]},
+ends AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+classes AS (SELECT doc_id, least(doc_id, (SELECT min(a) FROM pairs p WHERE p.b = doc_id AND equal)) AS class FROM sizes),
+links AS (SELECT DISTINCT x.class AS c, y.class AS o FROM ends JOIN classes x ON x.doc_id = a JOIN classes y ON y.doc_id = b WHERE x.class <> y.class),
+reached AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT doc_id, b FROM reached JOIN ends ON other = a)
+SELECT doc_id, (SELECT min(other) FROM reached r WHERE r.doc_id = c.doc_id) AS group_id, (SELECT count(*) FROM links WHERE links.c = c.class) AS n_links FROM classes c"""
 
 _RANKING = """
 WITH clean AS (SELECT node, run_at, CASE WHEN score::VARCHAR = 'nan' THEN NULL ELSE score END AS score FROM page_rank_store WHERE node IS NOT NULL),
@@ -215,7 +224,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
                 CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(k.n, 0) END::INT AS n_removed
             FROM documents d LEFT JOIN kept k USING (doc_id)""",
-        "p4_found": _SIMILAR,
+        "p4_found": _SIMILAR + "SELECT a AS doc_id_a, b AS doc_id_b FROM pairs",
+        "p4_groups": _GROUPS,
         "p3_found": _TERMS + "SELECT term, band FROM banded WHERE band <> 'useful'",
         "p3_counts": _TERMS + "SELECT term, tf, df, band FROM banded",
         "p5_found": _scores(3, "0.0", "1") + "SELECT doc_id, term FROM placed WHERE place <= 3",
