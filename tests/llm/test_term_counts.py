@@ -41,6 +41,36 @@ def test_oversized_partitions_are_split(spark, monkeypatch):
     assert got == brute(texts)
 
 
+def test_partition_beyond_the_memory_without_a_folder_to_spill_to(tmp_path):
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    from verbarium.llm.term_counts import aggregate_file
+
+    n = 200_000
+    terms = [None if i == 0 else f"{'long' * 40}{i}" for i in range(n)] + [f"{'long' * 40}{i}" for i in range(1, 1001)]
+    pq.write_table(pa.table({"term": terms, "tf": [2] * len(terms), "df": [1] * len(terms)}), tmp_path / "p.parquet", compression="zstd", row_group_size=20_000)
+    rows = ds.dataset(str(tmp_path), format="parquet")
+    got = {}
+    for batch in aggregate_file(rows, None, "40MB"):
+        for t, tf, df in zip(*(batch.column(c).to_pylist() for c in ("term", "tf", "df"))):
+            assert t not in got
+            got[t] = (tf, df)
+    assert got == {t: (4, 2) if t and int(t[160:]) <= 1000 else (2, 1) for t in terms}
+
+
+def test_partitions_are_measured_uncompressed(spark, monkeypatch):
+    texts = [f"{'a' * 500}{i}" for i in range(300)]
+    from verbarium.llm import term_counts as module
+
+    spilled = []
+    real = module._spill
+    monkeypatch.setattr(module, "_spill", lambda rows, bits, n: spilled.append(bits) or real(rows, bits, n))
+    got = rows(radix_aggregate(partial_counts(table(spark, texts)), max_part_bytes=60_000, first_bits=1))
+    assert len(got) == 301 and spilled == [1, 4]  # 300 terms of 500 bytes, which zstd writes in a few
+
+
 def test_bands_and_dictionary(spark):
     lines = [("﻿ Cat　", "en"), ("cat", "en"), ("zebra", "en"), ("", "en"), ("﻿", "en"), (None, "en"), ("猫", "zh"), ("x", None)]
     listed = spark.createDataFrame(lines, "word string, lang string")

@@ -2,9 +2,12 @@
 
 Recursive radix spilling: each task counts its own texts and passes on its distinct words,
 which are partitioned by bits of their hash to the shared disk. Partitions above
-``MAX_PART_BYTES`` are split by further bits, as often as needed. Each partition is then
-aggregated by DuckDB in one task, within a fixed memory and spilling to the shared folder.
-A word's partial rows are at most one per task and flush, so skewed words cost nothing.
+``MAX_PART_BYTES``, as they are in memory, are split by further bits, as often as needed.
+Each partition is then aggregated by DuckDB in one task, within a fixed memory. Where the
+shared folder is a file system of the machines, DuckDB spills to it; where it is not, or if
+memory is short all the same, the task reads its partition again in two, four, ... parts by
+the terms' hashes, so the result never depends on where DuckDB may spill. A word's partial
+rows are at most one per task and flush, so skewed words cost nothing.
 
 Defined cases: null texts count for nothing; empty texts count as documents; words are
 counted whatever their length; repeated rows are documents of their own; an empty table
@@ -19,15 +22,20 @@ from urllib.parse import urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verbarium.llm.words import partial_counts
 from verbarium.session import _hadoop_path, drop_path, materialize, scratch_path
 
-#: A partition above this, compressed, is split further; what is left fits into DuckDB's memory.
-MAX_PART_BYTES = 16 << 20
+#: A partition whose terms and counts have more bytes than this, uncompressed, is split further.
+MAX_PART_BYTES = 64 << 20
+#: Bytes of a row besides its term.
+ROW_BYTES = 24
 #: Least bits of the first split, bits of each further one, and of all together.
 FIRST_BITS, NEXT_BITS, ALL_BITS = 4, 3, 60
 DUCKDB_MEMORY = "400MB"
+#: Parts in which a task may read its partition at most; a part then has words of one hash.
+MAX_PASSES = 1 << 16
 
 
 def _spill(rows: DataFrame, bits: int, partitions: int) -> str:
@@ -43,11 +51,36 @@ def _spill(rows: DataFrame, bits: int, partitions: int) -> str:
     return path
 
 
-def _parts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """The folders below ``path`` with their sizes; as many as there are hash values."""
+def _parts(spark: SparkSession, schema, path: str) -> list[tuple[str, int]]:
+    """The folders below ``path``, as many as there are hash values, with the bytes of their rows."""
     p, fs = _hadoop_path(spark, path)
-    folders = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
-    return [(f.toString(), fs.getContentSummary(f).getLength()) for f in folders]
+    folders = {int(s.getPath().getName().split("=")[1]): s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()}
+    size = F.sum(F.coalesce(F.octet_length("term"), F.lit(0)).cast("long") + ROW_BYTES).alias("size")
+    sizes = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.LongType())])).parquet(path).groupBy("part").agg(size) if folders else None
+    return [(folders[r.part], r.size) for r in sizes.collect()] if folders else []
+
+
+def aggregate_file(rows, spill: str | None, memory: str = DUCKDB_MEMORY) -> Iterator[pa.RecordBatch]:
+    """Sums by term of the dataset ``rows``, in as many passes over parts of its terms as the memory needs."""
+    import duckdb
+
+    parts = [(0, 1)]  # the terms whose hash is k modulo n
+    while parts:
+        k, n = parts.pop()
+        con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False})
+        con.execute(f"SET temp_directory = '{spill or ''}'")  # never a folder of this machine alone
+        try:
+            con.register("part", rows.scanner(columns=["term", "tf", "df"], batch_size=8192).to_reader())
+            mine = f"WHERE hash(coalesce(term, '')) % {n} = {k}" if n > 1 else ""
+            result = con.sql(f"SELECT term, sum(tf)::BIGINT AS tf, sum(df)::BIGINT AS df FROM part {mine} GROUP BY term").to_arrow_table()
+        except duckdb.OutOfMemoryException:
+            if n >= MAX_PASSES:
+                raise
+            parts += [(k + n, 2 * n), (k, 2 * n)]
+            continue
+        finally:
+            con.close()
+        yield from result.to_batches(50_000)
 
 
 def radix_aggregate(partial: DataFrame, max_part_bytes: int = MAX_PART_BYTES, first_bits: int | None = None) -> DataFrame:
@@ -57,9 +90,9 @@ def radix_aggregate(partial: DataFrame, max_part_bytes: int = MAX_PART_BYTES, fi
     roots = [_spill(partial, bits, 1 << bits)]
     ready: list[str] = []
     while True:
-        parts = _parts(spark, roots[-1])
+        parts = _parts(spark, partial.schema, roots[-1])
         large = [p for p, n in parts if n > max_part_bytes and bits + NEXT_BITS <= ALL_BITS]
-        ready += [p for p, _ in parts if p not in set(large)]
+        ready += [p for p, n in parts if n <= max_part_bytes or not large]
         if not large:
             break
         # All oversized partitions of a level are split in one job.
@@ -72,24 +105,17 @@ def radix_aggregate(partial: DataFrame, max_part_bytes: int = MAX_PART_BYTES, fi
         import shutil
         import uuid
 
-        import duckdb
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-                con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": False})
                 folder = None
                 if urlparse(spill_url).scheme in ("", "file"):
                     folder = f"{urlparse(spill_url).path}/{uuid.uuid4().hex}"
                     os.makedirs(folder, exist_ok=True)
-                con.execute(f"SET temp_directory = '{folder or ''}'")  # never a folder of this machine alone
-                rows = ds.dataset(inner, filesystem=system, format="parquet").scanner(columns=["term", "tf", "df"]).to_reader()
-                con.register("part", rows)
-                result = con.sql("SELECT term, sum(tf)::BIGINT AS tf, sum(df)::BIGINT AS df FROM part GROUP BY term")
-                yield from result.to_arrow_reader(50_000)
-                con.close()
+                yield from aggregate_file(ds.dataset(inner, filesystem=system, format="parquet"), folder)
                 if folder:
                     shutil.rmtree(folder, ignore_errors=True)
 
