@@ -76,3 +76,28 @@ def test_rates(spark):
 
 def test_empty_table(spark):
     assert truncated(table(spark, [])).count() == truncation_rates(table(spark, [])).count() == 0
+
+
+def test_what_is_usual_is_learned_by_source(spark):
+    # Verse has no ends, and this desk signs with a word; the same endings are cuts where lines like them have ends.
+    verse = [(i, "\n".join(f"the lantern of the {w} hill {i} keeps" for w in ("old", "low", "far", "red", "dim", "wet")), "verse") for i in range(12)]
+    prose = [(100 + i, f"{PROSE.format(i).strip()}\n{PROSE.format(i + 50).strip()}\nThe reader of {chr(97 + i) * 3} and", "prose") for i in range(12)]
+    desk = [(200 + i, f"{PROSE.format(i).strip()}\n~{i % 3} desk nine{i}\n{PROSE.format(i + 70).strip()}\n~4 from the night{i} desk", "desk") for i in range(12)]
+    got = {r.doc_id: r.evidence for r in truncated(table(spark, verse + prose + desk)).collect()}
+    assert {k for k, e in got.items() if e} == {i for i, _, _ in prose}
+    assert set(got.values()) == {None, "open line"}
+
+
+def test_long_last_line_that_stands_elsewhere_is_whole(spark):
+    line = "No part of this text may leave the hall of the lantern without a word from the keeper " * 30
+    data = [(1, "One sentence.\n" + line, "a"), (2, f"Another.\n{line}\nAnd an end.", "b"), (3, f"A third.\n{line}\nAnd one more.", "c"), (4, "One sentence.\n" + line[:-7], "d")]
+    assert {r.doc_id for r in truncated(table(spark, data)).filter("cut").collect()} == {4}
+
+
+def test_evidence(spark):
+    data, want = rows()
+    got = {r.doc_id: r.evidence for r in truncated(table(spark, data)).filter("cut").collect()}
+    assert set(got) == want
+    assert {e for k, e in got.items() if k < 40} == {"spike"} and got[103] == got[115] == "mark" and got[101] == got[121] == "open line"
+    for r in truncation_rates(table(spark, data)).collect():
+        assert r.n_spike + r.n_mark + r.n_open == r.n_cut
