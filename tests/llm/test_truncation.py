@@ -81,7 +81,7 @@ def test_empty_table(spark):
 def test_what_is_usual_is_learned_by_source(spark):
     # Verse has no ends, and this desk signs with a word; the same endings are cuts where lines like them have ends.
     verse = [(i, "\n".join(f"the lantern of the {w} hill {i} keeps" for w in ("old", "low", "far", "red", "dim", "wet")), "verse") for i in range(12)]
-    prose = [(100 + i, f"{PROSE.format(i).strip()}\n{PROSE.format(i + 50).strip()}\nThe reader of {chr(97 + i) * 3} and", "prose") for i in range(12)]
+    prose = [(100 + i, f"{PROSE.format(i).strip()}\n{PROSE.format(i + 50).strip()}\nThe reader of {chr(97 + i) * (3 + 5 * i)} and", "prose") for i in range(12)]
     desk = [(200 + i, f"{PROSE.format(i).strip()}\n~{i % 3} desk nine{i}\n{PROSE.format(i + 70).strip()}\n~4 from the night{i} desk", "desk") for i in range(12)]
     got = {r.doc_id: r.evidence for r in truncated(table(spark, verse + prose + desk)).collect()}
     assert {k for k, e in got.items() if e} == {i for i, _, _ in prose}
