@@ -11,7 +11,8 @@ a colon have templates too. Each host's pages vote:
 3. on prefixes: one that stands in the running text and never opens a page points elsewhere.
 
 Then each page is read again with the winning templates: frame lines, link lists and lines
-that point elsewhere go; a title that ends a link list just before its text stays.
+that point elsewhere go; a title that ends a link list just before its text stays. Pages that
+have their markup still are told by their closing tags and read by tag-class paths (``markup``).
 
 Defined cases: null texts and pages of only an id and url line have no article; exact
 duplicate rows count once; a null site is taken from the url line, and pages that have none
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbarium.llm.markup import has_markup, kept_blocks
 from verbarium.session import materialize
 
 #: Share and number of a host's pages that make a line's template frame.
@@ -43,6 +45,8 @@ PREFIX_SHARE, PREFIX_PAGES = 0.001, 4
 WORD_SHARE, WORD_PAGES = 0.05, 3
 #: Templates up to which they are broadcast, about 40 MB; beyond, they travel to their hosts' pages.
 BROADCAST_TEMPLATES = 500_000
+#: Pages that stand there more than once up to which their keys are broadcast.
+BROADCAST_PAGES = 500_000
 #: Pages of one host in one task, where templates travel.
 PAGES_PER_GROUP = 5000
 
@@ -272,11 +276,29 @@ def _with_model(pages: DataFrame, model: DataFrame, work: Callable, schema: str)
     return left.groupBy("host", "g").cogroup(right.groupBy("host", "g")).applyInArrow(group, schema)
 
 
-def parsed(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
-    """The distinct pages with the codes of their lines, parsed once, as a table."""
+def distinct_pages(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """``page_id, host, text`` of the distinct pages without and, if there are any, with markup.
+
+    Only keys and hashes are shuffled to find repeated pages, and then these alone.
+    """
     url_host = F.regexp_extract(F.element_at(F.split(F.col(text), "\n"), 2), r"^\s*[a-z]+://([^/\s:]+)", 1)
     host = F.coalesce(F.col(site), F.when(F.size(F.split(F.col(text), "\n")) > 1, F.nullif(url_host, F.lit(""))), F.lit(""))
-    once = pages.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("page_id"), host.alias("host"), F.col(text).alias("text")).distinct()
+    every = pages.filter(F.col(text).isNotNull()).select(
+        F.col(key).cast("long").alias("page_id"), host.alias("host"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), has_markup(F.col(text)).alias("markup")
+    )
+    seen = every.groupBy("page_id", "h").agg(F.count(F.lit(1)).alias("n"), F.max("markup").alias("markup"))
+    seen = materialize(seen.filter("n > 1 or markup"), "seen")
+    repeated = seen.filter("n > 1").select(F.col("page_id").alias("_p"), F.col("h").alias("_h"))
+    if repeated.count() <= BROADCAST_PAGES:
+        repeated = F.broadcast(repeated)
+    same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("h") == F.col("_h"))
+    once = every.join(repeated, same, "left_anti").unionByName(every.join(repeated, same, "left_semi").dropDuplicates(["page_id", "host", "text"]))
+    plain = once.filter("not markup").select("page_id", "host", "text")
+    return plain, None if seen.filter("markup").isEmpty() else once.filter("markup").select("page_id", "host", "text")
+
+
+def parsed(once: DataFrame) -> DataFrame:
+    """Distinct pages ``page_id, host, text`` with the codes of their lines, parsed once, as a table."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,8 +387,9 @@ def voted(pages: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def article_line_numbers(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
-    """``key, line_no`` of the lines of each page's article."""
-    base = parsed(pages, key, site, text)
+    """``key, line_no`` of the lines of each page's article; in markup, of the lines that have text of it."""
+    plain, markup = distinct_pages(pages, key, site, text)
+    base = parsed(plain)
     model = voted(base, templates(base))
 
     def work(rows, model_of) -> Iterator[pa.RecordBatch]:
@@ -379,12 +402,16 @@ def article_line_numbers(pages: DataFrame, key: str = "page_id", site: str = "si
                 ids, numbers = [], []
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
 
-    return _with_model(base, model, work, "page_id bigint, line_no int").distinct().select(F.col("page_id").alias(key), "line_no")
+    found = _with_model(base, model, work, "page_id bigint, line_no int")
+    if markup is not None:
+        found = found.unionByName(kept_blocks(markup).select("page_id", F.explode(F.flatten(F.transform("blocks", lambda b: b["lines"]))).alias("line_no")))
+    return found.distinct().select(F.col("page_id").alias(key), "line_no")
 
 
 def articles(pages: DataFrame, key: str = "page_id", site: str = "site", text: str = "text") -> DataFrame:
-    """``key, article`` of each distinct page: the article's lines, an empty text if there are none."""
-    base = parsed(pages, key, site, text)
+    """``key, article`` of each distinct page: the article's lines or blocks, an empty text if there are none."""
+    plain, markup = distinct_pages(pages, key, site, text)
+    base = parsed(plain)
     model = voted(base, templates(base))
 
     def work(rows, model_of) -> Iterator[pa.RecordBatch]:
@@ -403,4 +430,7 @@ def articles(pages: DataFrame, key: str = "page_id", site: str = "site", text: s
                 ids, bodies, held = [], [], 0
         yield batch()
 
-    return _with_model(base, model, work, "page_id bigint, article string").select(F.col("page_id").alias(key), "article")
+    found = _with_model(base, model, work, "page_id bigint, article string")
+    if markup is not None:
+        found = found.unionByName(kept_blocks(markup).select("page_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("article")))
+    return found.select(F.col("page_id").alias(key), "article")
