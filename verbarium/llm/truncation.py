@@ -115,7 +115,7 @@ def text_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 
 def _rates(counts: DataFrame, prior: Column) -> DataFrame:
-    """``source, kind, rate`` from ``source, kind, n, yes``; a null source with ``kind`` null-safe stands for itself."""
+    """``source, kind, rate, all`` from ``source, kind, n, yes``: the rates in the source and in all."""
     every = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).select(
         F.col("kind").alias("_k"), ((F.col("yes") + PRIOR_WEIGHT * prior) / (F.col("n") + PRIOR_WEIGHT)).alias("all")
     )
@@ -134,12 +134,20 @@ def line_habits(docs: DataFrame, text: str = "text", source: str = "source") ->
     inner = F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.length(F.rtrim(x, F.lit(_BLANKS))) > 0)
     each = docs.select(F.col(source).alias("source"), F.col(text).alias("text")).filter("text is not null").select("source", F.explode(inner).alias("line"))
     each = each.withColumn("trimmed", _trimmed(F.col("line")))
-    lead = each.select("source", _lead(F.col("line")).alias("kind"), (F.sqrt(F.length("trimmed")) / 5).alias("w"), (~_ends_in(F.col("trimmed"), _ENDS)).cast("int").alias("open"))
-    leads = lead.groupBy("source", "kind").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("open")).alias("yes"))
-    signed = each.filter(F.col("trimmed").rlike(_SIGNS))
-    words = signed.select("source", F.posexplode(F.split("trimmed", r"[\s\h]+")).alias("pos", "word"), F.size(F.split("trimmed", r"[\s\h]+")).alias("size")).filter(F.col("word").rlike(_SIGNS))
-    ends = words.groupBy("source", _signs(F.col("word")).alias("kind")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum((F.col("pos") == F.col("size") - 1).cast("double")).alias("yes"))
+
+    def counted(what: str, kind: Column, n: Column, yes: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), kind.alias("kind"), n.alias("n"), F.when(yes, n).otherwise(0.0).alias("yes"))
+
+    lead = counted("lead", _lead(F.col("line")), F.sqrt(F.length("trimmed")) / 5, ~_ends_in(F.col("trimmed"), _ENDS))
+    words = F.split("trimmed", r"[\s\h]+")
+    placed = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("word"), (i == F.size(words) - 1).alias("last"))), lambda x: x["word"].rlike(_SIGNS))
+    signs = F.transform(placed, lambda x: counted("signs", _signs(x["word"]), F.lit(1.0), x["last"]))
+    # Both counts in one pass over the lines; only lines with signs are split into words.
+    both = F.when(F.col("trimmed").rlike(_SIGNS), F.concat(F.array(lead), signs)).otherwise(F.array(lead))
+    counts = each.select("source", F.explode(both).alias("c")).groupBy("source", "c.what", "c.kind").agg(F.sum("c.n").alias("n"), F.sum("c.yes").alias("yes"))
+    counts = materialize(counts, "habits")
     has_signs, without = map(F.lit, PRIOR)
+    leads, ends = (counts.filter(F.col("what") == w).drop("what") for w in ("lead", "signs"))
     return materialize(
         _rates(leads, F.when(_structural(F.col("kind")), has_signs).otherwise(without))
         .select(F.lit("lead").alias("what"), "*")
