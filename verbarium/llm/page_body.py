@@ -52,10 +52,9 @@ PAGES_PER_GROUP = 5000
 
 _LETTERS = re.compile(r"[\W\d_]+")
 _PARTS = re.compile(r"\s+[|·•»›>/]\s+|\xa0*[|·•»›>/]\xa0+|[ \xa0]{2,}|　")
-_BYLINE = re.compile(r"^\s*by\s.{3,80}\|.*\d+\s*min", re.I)
-_PREFIX = re.compile(r"^\s*([^:：]{2,30}?)\s*[:：]\s*\S")
+_PREFIX = re.compile(r"^\s*([^:：]+?)\s*[:：]\s*\S")
 _ENDED = re.compile(r"[.!?。！？][)\]\"'”’」』»]*\s*$")
-_TEASER = re.compile(r"(?:\.\.\.|…)\s*$|^.{8,90}\s-\s[A-Z“\"㐀-鿿぀-ヿ]")
+_TEASER = re.compile(r"(?:\.\.\.|…)\s*$|^.+?\s-\s[A-Z“\"㐀-鿿぀-ヿ]")
 _ITEM = re.compile(r"^\s*(?:[•*\-–]\s|\d{1,2}[.)]\s|[$>“\"「])")
 _WORDS = re.compile(r"[a-z][a-z0-9]{3,}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -110,7 +109,7 @@ def _ended(text: str) -> bool:
 
 
 def _linklike(text: str) -> bool:
-    return not _ended(text) and not _ITEM.match(text) and len(text) < 220
+    return not _ended(text) and not _ITEM.match(text)
 
 
 class Model:
@@ -123,7 +122,7 @@ class Model:
         return code is not None and (code in self.own or code in self.shared)
 
     def frame(self, x: Line) -> bool:
-        return self.has(x.line) or any(map(self.has, x.parts)) or bool(_BYLINE.match(x.text))
+        return self.has(x.line) or any(map(self.has, x.parts))
 
     def opens_list(self, x: Line) -> bool:
         return self.has(x.line ^ 1)
