@@ -18,6 +18,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 
@@ -62,11 +63,13 @@ class Encoder:
         self._fast = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._slow = None
         self._long = re.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
-        self._json = path.rsplit(".", 1)[0] + ".json"
+        # Without the other library's file beside it, long runs only take longer.
+        other = path.rsplit(".", 1)[0] + ".json"
+        self._json = other if os.path.exists(other) else None
         self.leaf, self.window = leaf, window
 
     def direct(self, text: str) -> np.ndarray:
-        if len(text) > LONG_RUN and self._long.search(text):
+        if len(text) > LONG_RUN and self._json and self._long.search(text):
             if self._slow is None:
                 from tokenizers import Tokenizer
 

@@ -517,10 +517,11 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", full
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``key, group_id, n_links`` of each document that is long enough.
+    """``key, class_id, group_id, n_links`` of each document that is long enough.
 
-    A group is a connected component of matches, named by its smallest key; ``n_links``
-    counts the other classes that the document's class matches.
+    A class holds the documents of equal sets and a group is a connected component of
+    matches, each named by its smallest key; ``n_links`` counts the other classes that the
+    document's class matches. One row a document, however large a class is.
     """
     from verbarium.operators.components import connected_components
 
@@ -530,5 +531,5 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
     return (
         classes.join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
         .join(degree, "class", "left")
-        .select(F.col("key").alias(key), F.coalesce("component", "class").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select(F.col("key").alias(key), F.col("class").alias("class_id"), F.coalesce("component", "class").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )

@@ -105,6 +105,45 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(table(spark, d, "documents")), "doc_id", "n_tokens", 2048)
 
 
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers, with the number of cases that break it.
+
+    No container holds more than its capacity; every token of every text lies in one part;
+    only texts longer than a container are split, and all their parts but the last fill one;
+    containers are numbered without gaps; and there are at most 1 % more than the tokens need.
+    """
+    from verbarium.llm.encode import count_tokens
+    from verbarium.session import materialize
+
+    capacity = 2048
+    parts = materialize(p9_containers(spark, d), "containers")
+    sizes = count_tokens(table(spark, d, "documents")).filter("n_tokens > 0").select("doc_id", F.col("n_tokens").alias("size"))
+    filled = parts.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    per = parts.groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.col("first") + F.col("n_tokens")).alias("last"),
+        F.count(F.when((F.col("n_tokens") < capacity), 1)).alias("short"), F.max(F.when(F.col("first") != F.col("part_no") * capacity, 1)).alias("moved"),
+    )
+    both = per.join(sizes, "doc_id", "full")
+    whole = F.coalesce((F.col("n") == F.col("size")) & (F.col("last") == F.col("size")) & F.col("moved").isNull(), F.lit(False))
+    one = lambda name, df: df.select(F.lit(name).alias("invariant"), "cases")
+    need = sizes.agg(F.ceil(F.sum("size") / capacity).alias("need"))  # one row
+    count = filled.agg(F.count(F.lit(1)).alias("n"), F.max("container_id").alias("last"))  # one row
+    return (
+        one("over capacity", filled.agg(F.count(F.when(F.col("used") > capacity, 1)).alias("cases")))
+        .unionByName(one("tokens lost or repeated", both.agg(F.count(F.when(~whole, 1)).alias("cases"))))
+        .unionByName(one("split needlessly", both.agg(F.count(F.when((F.col("parts") != F.ceil(F.col("size") / capacity)) | (F.col("short") > 1), 1)).alias("cases"))))
+        .unionByName(one("gaps in numbers", count.select(F.coalesce(F.col("last") + 1 - F.col("n"), F.lit(0)).alias("cases"))))
+        .unionByName(one("too many containers", count.crossJoin(F.broadcast(need)).select((F.col("n") > F.ceil(F.col("need") * 1.01)).cast("bigint").alias("cases"))))
+    )
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the token ids stand for: an exact round trip."""
+    from verbarium.llm.encode import decode_documents
+
+    return decode_documents(p8_ids(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from verbarium.llm.truncation import truncated
 
@@ -118,7 +157,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_articles, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p9_containers, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_articles, p3_found, p3_counts, p4_found, p4_groups, p5_found, p5_scores, p6_found, p6_ranking, p8_ids, p8_decoded, p9_containers, p9_invariants, p10_found, p10_sources)}
 
 
 _WORDS = """
@@ -191,7 +230,7 @@ ends AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 classes AS (SELECT doc_id, least(doc_id, (SELECT min(a) FROM pairs p WHERE p.b = doc_id AND equal)) AS class FROM sizes),
 links AS (SELECT DISTINCT x.class AS c, y.class AS o FROM ends JOIN classes x ON x.doc_id = a JOIN classes y ON y.doc_id = b WHERE x.class <> y.class),
 reached AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT doc_id, b FROM reached JOIN ends ON other = a)
-SELECT doc_id, (SELECT min(other) FROM reached r WHERE r.doc_id = c.doc_id) AS group_id, (SELECT count(*) FROM links WHERE links.c = c.class) AS n_links FROM classes c"""
+SELECT doc_id, class AS class_id, (SELECT min(other) FROM reached r WHERE r.doc_id = c.doc_id) AS group_id, (SELECT count(*) FROM links WHERE links.c = c.class) AS n_links FROM classes c"""
 
 _RANKING = """
 WITH clean AS (SELECT node, run_at, CASE WHEN score::VARCHAR = 'nan' THEN NULL ELSE score END AS score FROM page_rank_store WHERE node IS NOT NULL),
@@ -224,6 +263,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
                 CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(k.n, 0) END::INT AS n_removed
             FROM documents d LEFT JOIN kept k USING (doc_id)""",
+        "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p9_invariants": "SELECT unnest(['over capacity', 'tokens lost or repeated', 'split needlessly', 'gaps in numbers', 'too many containers']) AS invariant, 0::BIGINT AS cases",
         "p4_found": _SIMILAR + "SELECT a AS doc_id_a, b AS doc_id_b FROM pairs",
         "p4_groups": _GROUPS,
         "p3_found": _TERMS + "SELECT term, band FROM banded WHERE band <> 'useful'",

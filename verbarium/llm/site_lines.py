@@ -8,8 +8,9 @@ reaches its threshold is counted exactly in full instead, so nothing is lost wha
 data. Removal: confirmed lines as one set per source, broadcast if the sets are small and
 otherwise joined line by line.
 
-Line forms are 64-bit hashes; two forms of one source meet with a probability below 1e-7
-for a billion lines.
+Line forms are 64-bit hashes. Only a line that meets one of its source's candidates could be
+taken for it, which of a billion lines and a thousand candidates one does with a probability
+below 1e-7.
 
 Defined cases: null texts have no lines but count as documents of their source; a null
 source is a source of its own; a line repeated within a document counts once; repeated rows
