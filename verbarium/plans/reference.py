@@ -16,6 +16,7 @@ from verbarium.session import scratch_path
 from verbarium.sources.docstore import DocStore, latest
 from verbarium.sources.files import page_parts, read_corpus, read_dictionary, read_links, read_urls, write_corpus, write_lines
 from verbarium.sources.tables import table
+from verbarium.streaming.ingest import ingest, open_stream_index
 
 PER_SEGMENT = 100
 PLAIN = analyzer(tokenize_punctuation)
@@ -71,6 +72,14 @@ def wordbreak_en(spark, d):
     return table(spark, d, "ranked_queries").select("query_id", joined.alias("joined")).select("query_id", "joined", F.array_join(broken, " ").alias("words"))
 
 
+def wordbreak_strict(spark, d):
+    """As ``wordbreak_en``, but of equally good ways the last, and an empty text is an error as an unbreakable one is: null."""
+    words = load_dictionary(clean_dictionary(table(spark, d, "word_dict"), "en"))
+    joined = F.coalesce(F.array_join(F.filter("keywords", lambda x: x.isNotNull()), ""), F.lit(""))
+    broken = word_break(spark, F.col("joined"), words, tie="last", on_empty="error", on_unbreakable="null")
+    return table(spark, d, "ranked_queries").select("query_id", joined.alias("joined")).select("query_id", "joined", F.array_join(broken, " ").alias("words"))
+
+
 _HAN, _KANA = "\\x{4e00}-\\x{9fff}", "\\x{3041}-\\x{30ff}"
 
 
@@ -118,6 +127,11 @@ def docstore_scan(spark, d):
     return _store(spark, d).scan().filter("text is not null")
 
 
+def docstore_reopened(spark, d):
+    """All documents, also those without a text, from the store opened again to be read only, in the order of their keys."""
+    return DocStore.open_read_only(spark, _store(spark, d).path).iterate()
+
+
 def docstore_get(spark, d):
     """One document by its key: the smallest key of the store."""
     store = _store(spark, d)
@@ -196,6 +210,50 @@ def positions_build(spark, d):
     return _index(spark, d).postings.select("seg_id", "term", "doc_id", F.explode("positions").alias("pos"))
 
 
+def plain_index_postings(spark, d):
+    """Postings of an index without positions, which has no column for them."""
+    index = TextIndex.build(table(spark, d, "documents"), analyze=PLAIN, per_segment=PER_SEGMENT, positional=False)
+    return index.postings
+
+
+_stored: dict[tuple, str] = {}
+
+
+def _stored_index(spark: SparkSession, d: str) -> TextIndex:
+    """An index on disk, opened again: documents with a time were saved, those without one appended, and then some deleted."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        path = scratch_path(spark, "stored")
+        docs = table(spark, d, "documents")
+        saved = TextIndex.build(docs.filter("fetched_at is not null"), analyze=PLAIN, per_segment=PER_SEGMENT).save(path)
+        saved.append(docs.filter("fetched_at is null"), per_segment=PER_SEGMENT).delete("segment")
+        _stored[key] = path
+    return TextIndex.open(spark, _stored[key], PLAIN)
+
+
+def stored_live_documents(spark, d):
+    return _keys(_stored_index(spark, d).live())
+
+
+def stored_postings(spark, d):
+    return _stored_index(spark, d).postings.select("seg_id", "term", "doc_id", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+def stored_catalogue(spark, d):
+    """Documents and deleted documents of each segment of the stored index."""
+    index = _stored_index(spark, d)
+    dead = index.tombstones.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n_deleted"))
+    return index.segments().join(dead, "seg_id", "left").select("seg_id", "n_docs", F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"))
+
+
+def stream_ingest(spark, d):
+    """The documents of an index that a stream of the table was written to."""
+    path, state = scratch_path(spark, "streamed"), scratch_path(spark, "state")
+    docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*").select("doc_id", "text")
+    ingest(docs, path, state, PLAIN, PER_SEGMENT).awaitTermination()
+    return _keys(open_stream_index(spark, path, PLAIN).documents)
+
+
 def num_docs_by_segment(spark, d):
     return _index(spark, d).segments()
 
@@ -370,6 +428,13 @@ def delta_varlen_keys(spark, d):
     return lists.select("seg_id", "term", F.hex(code).alias("code"), text(decode_gaps(code)).alias("keys"), text(decode_gaps(code, 100_000, 4)).alias("beyond"))
 
 
+def codec_ranges(spark, d):
+    """What parts of the codes decode to: the second and third number of the fixed one; the second to fifth gap, added up; nothing from beyond the end."""
+    text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+    fixed, gaps = encode_fixed(F.col("doc_ids")), encode_gaps(F.col("doc_ids"))
+    return _lists(spark, d).select("seg_id", "term", text(decode_fixed(fixed, 4, 8)).alias("fixed"), text(decode_gaps(gaps, 1, 4)).alias("gaps"), text(decode_fixed(fixed, 400, 4)).alias("beyond"))
+
+
 def codec_roundtrip(spark, d):
     """Document lists after encoding and decoding by either codec."""
     back = [F.array_join(F.transform(x, lambda v: v.cast("string")), ",") for x in (decode_fixed(encode_fixed(F.col("doc_ids"))), decode_gaps(encode_gaps(F.col("doc_ids"))))]
@@ -385,13 +450,13 @@ def compression_ratio(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_naive_tokens, tokenize_punct_tokens, stopword_filtered_count, stemmed_df, wordbreak_en, wordbreak_cjk, wordbreak_japanese,
-        docstore_scan, docstore_get, docstore_keys, docstore_size, docstore_upsert, corpus_pages, link_file, url_file, dictionary_file, page_urls,
-        segment_assign, postings_build, positions_build, num_docs_by_segment, num_segments, doc_freq_by_segment, doc_freq, segment_dump,
+        tokenize_naive_tokens, tokenize_punct_tokens, stopword_filtered_count, stemmed_df, wordbreak_en, wordbreak_strict, wordbreak_cjk, wordbreak_japanese,
+        docstore_scan, docstore_reopened, docstore_get, docstore_keys, docstore_size, docstore_upsert, corpus_pages, link_file, url_file, dictionary_file, page_urls,
+        segment_assign, postings_build, positions_build, plain_index_postings, stored_live_documents, stored_postings, stored_catalogue, stream_ingest, num_docs_by_segment, num_segments, doc_freq_by_segment, doc_freq, segment_dump,
         segment_dump_positions, delete_tombstones, delete_live_documents, segment_merge_pairs, delete_then_merge_postings,
         full_scan_search, keyword_search, and_search, and_search_missing_term, or_search, phrase_search, phrase_search_3, phrase_repeated_word,
         phrase_search_deleted, tfidf_all, tfidf_top10, tfidf_dup_query_terms, tfidf_batch, stemmed_tfidf_top10,
-        out_degree, pagerank_10, pagerank_converged, pagerank_top, pagerank_best, combined_rank, naive_encode, delta_varlen_encode, delta_varlen_keys, codec_roundtrip, compression_ratio,
+        out_degree, pagerank_10, pagerank_converged, pagerank_top, pagerank_best, combined_rank, naive_encode, delta_varlen_encode, delta_varlen_keys, codec_ranges, codec_roundtrip, compression_ratio,
     )
 }
 
@@ -467,14 +532,14 @@ change AS ({change}), every AS ({every})
 SELECT node, round(score, 6) AS score FROM every WHERE i = (SELECT coalesce(min(i) FILTER (c < {tolerance}), {steps}) FROM change)"""
 
 
-def _broken_sql(texts: str, lang: str, lower: bool, forward: bool) -> str:
+def _broken_sql(texts: str, lang: str, lower: bool, forward: bool, last: bool = False) -> str:
     """CTEs ``texts(run, ...)``, ``best(run, words)``: the best way to break each run by dynamic programming over its edges."""
     trimmed = "regexp_replace(word, '^[\\s\\x{a0}\\x{3000}\\x{feff}\\x{200b}]+|[\\s\\x{a0}\\x{3000}\\x{feff}\\x{200b}]+$', '', 'g')"
     word = f"lower({trimmed})" if lower else trimmed
     source, target, start, order = ("i", "j", 1, "i, j") if forward else ("j", "i", "len(run) + 1", "i DESC, j")
     path = "path[i + 1] || word || ' '" if forward else "word || ' ' || path[j + 1]"
     end = "len(run) + 1" if forward else "1"
-    better = f"score[{source} + 1] IS NOT NULL AND (score[{target} + 1] IS NULL OR score[{source} + 1] + lp > score[{target} + 1] + 1e-12)"
+    better = f"score[{source} + 1] IS NOT NULL AND (score[{target} + 1] IS NULL OR score[{source} + 1] + lp > score[{target} + 1] {'-' if last else '+'} 1e-12)"
     put = lambda old, new: f"list_transform({old}, lambda x, z: CASE WHEN z = {target} + 1 AND {better} THEN {new} ELSE x END)"
     return f"""WITH RECURSIVE {texts},
 freqs AS (SELECT {word} AS word, sum(freq) AS f FROM word_dict WHERE lang = '{lang}' AND freq > 0 AND NOT isnan(freq) GROUP BY 1),
@@ -552,6 +617,18 @@ padded AS (
     UNION ALL SELECT (SELECT max(seg_id) + 1 FROM seg), 0, 1000000000000 WHERE (SELECT count(DISTINCT seg_id) % 2 FROM seg) = 1
 )"""
 
+# Two batches of segments, numbered each for itself.
+_TIMED = "(row_number() OVER (PARTITION BY fetched_at IS NULL ORDER BY doc_id) - 1)"
+_STORED = f"""
+WITH seg AS (
+    SELECT ({_TIMED} // {PER_SEGMENT} + CASE WHEN fetched_at IS NULL THEN (SELECT ceil(count(*) / {PER_SEGMENT}) FROM documents WHERE text IS NOT NULL AND fetched_at IS NOT NULL) ELSE 0 END)::INT AS seg_id,
+        ({_TIMED} % {PER_SEGMENT})::INT AS doc_id, doc_id AS key, text
+    FROM documents WHERE text IS NOT NULL
+),
+lists AS (SELECT seg_id, doc_id, {_KEPT} AS t FROM seg),
+pos AS (SELECT seg_id, doc_id, unnest(t) AS term, (generate_subscripts(t, 1) - 1)::INT AS pos FROM lists),
+dead AS (SELECT DISTINCT seg_id, doc_id FROM pos WHERE term = 'segment')"""
+
 ORACLE = {
     "tokenize_naive_tokens": f"""
         WITH t AS (SELECT doc_id, CASE WHEN text = '' THEN [''] WHEN regexp_full_match(lower(text), '{_S}+') THEN [] ELSE string_split_regex(regexp_replace(lower(text), '{_S}+$', ''), '{_S}+') END AS t
@@ -574,6 +651,17 @@ ORACLE = {
         SELECT seg_id, doc_id, key, score FROM scored JOIN seg USING (seg_id, doc_id) ORDER BY score DESC, seg_id, doc_id LIMIT 10""",
     "wordbreak_en": _broken_sql("texts AS (SELECT query_id, array_to_string(list_filter(keywords, lambda x: x IS NOT NULL), '') AS run FROM ranked_queries)", "en", True, False) + """
         SELECT query_id, t.run AS joined, CASE WHEN t.run = '' THEN '' ELSE array_to_string(words, ' ') END AS words FROM texts t LEFT JOIN best b ON b.run = lower(t.run)""",
+    "wordbreak_strict": _broken_sql("texts AS (SELECT query_id, coalesce(array_to_string(list_filter(keywords, lambda x: x IS NOT NULL), ''), '') AS run FROM ranked_queries)", "en", True, False, True) + """
+        SELECT query_id, t.run AS joined, array_to_string(words, ' ') AS words FROM texts t LEFT JOIN best b ON b.run = lower(t.run)""",
+    "docstore_reopened": "SELECT doc_id, text FROM documents",
+    "plain_index_postings": _POS + "SELECT seg_id, term, doc_id, tf FROM post",
+    "stored_live_documents": _STORED + "SELECT seg_id, doc_id, key FROM seg WHERE (seg_id, doc_id) NOT IN (SELECT seg_id, doc_id FROM dead)",
+    "stored_postings": _STORED + "SELECT seg_id, term, doc_id, count(*)::INT AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM pos GROUP BY ALL",
+    "stored_catalogue": _STORED + """
+        SELECT seg_id, count(*) AS n_docs, count(d.doc_id) AS n_deleted FROM seg s LEFT JOIN dead d USING (seg_id, doc_id) GROUP BY seg_id""",
+    "stream_ingest": _SEG + "SELECT seg_id, doc_id, key FROM seg",
+    "codec_ranges": _LISTS + f"""
+        SELECT seg_id, term, array_to_string(ids[2:3], ',') AS fixed, array_to_string(list_transform(ids[2:5], lambda x: x - ids[1]), ',') AS gaps, '' AS beyond FROM lists2""",
     "wordbreak_cjk": _cjk_sql("zh"),
     "wordbreak_japanese": _cjk_sql("ja"),
     "link_file": "SELECT src, dst FROM id_graph",
