@@ -50,17 +50,26 @@ _MARK = rf"(?:{_BLANK}*(?:\[\.\.\.\]|\[…\]|\(\.\.\.\)|…|\.\.\.|�))+$"
 _CLOSING = ")]\"'”’」』»"
 #: Signs at which a sentence ends, and signs after which a text that nothing speaks against may end.
 _STOPS, _ENDS = list(".!?。！？"), list(".!?;:。！？；：")
-#: Signs that prose does not have within its words; or a dot, colon or bracket between letters.
-_SIGNS = r"[/@\\{}\[\]<>=_#$*+^~|`]|[\p{L}\d][.:(][\p{L}\d(]"
+#: Signs that prose does not have within its words; or a dot, colon or bracket between plain letters or digits.
+_SIGNS = r"[/@\\{}\[\]<>=_#$*+^~|`]|[.:(](?<=[A-Za-z0-9].)[A-Za-z0-9(]"
+
+
+def _rtrim(text: Column, signs: str) -> Column:
+    """Without these signs at the end; most texts have none, so they are looked at first."""
+    return F.when(F.right(text, F.lit(1)).isin(list(signs)), F.rtrim(text, F.lit(signs))).otherwise(text)
 
 
 def _trimmed(line: Column) -> Column:
     """Without blanks and signs of a link around the end."""
-    return F.rtrim(line, F.lit(_BLANKS + "|>»"))
+    return _rtrim(line, _BLANKS + "|>»")
 
 
 def _ends_in(trimmed: Column, signs: list[str]) -> Column:
-    return F.right(F.rtrim(trimmed, F.lit(_CLOSING)), F.lit(1)).isin(signs)
+    return F.right(_rtrim(trimmed, _CLOSING), F.lit(1)).isin(signs)
+
+
+def _is_blank(line: Column) -> Column:
+    return ~line.rlike(f"[^{_BLANKS}]")
 
 
 def _lead(line: Column) -> Column:
@@ -83,7 +92,7 @@ def _last_word(trimmed: Column) -> Column:
 def text_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """What the verdict on each row needs, as a table; null and blank texts have a null ``last``."""
     t = F.col("text")
-    body = F.rtrim(t, F.lit(_BLANKS))
+    body = _rtrim(t, _BLANKS)
     # Only a text that ends like a mark is searched for one.
     open_end = F.when(F.right("body", F.lit(1)).isin(")", "]", "…", "\ufffd") | F.endswith("body", F.lit("...")), F.regexp_replace(F.col("body"), _MARK, "")).otherwise(F.col("body"))
     # After the last line break, without splitting the text.
@@ -130,18 +139,21 @@ def line_habits(docs: DataFrame, text: str = "text", source: str = "source") ->
     weighing more; for signs, the share of words with these signs that end their line.
     One row for each kind that a source has: some hundreds, whatever the number of texts.
     """
-    lines = F.split(F.rtrim(F.col("text"), F.lit(_BLANKS)), "\n")
-    inner = F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.length(F.rtrim(x, F.lit(_BLANKS))) > 0)
-    each = docs.select(F.col(source).alias("source"), F.col(text).alias("text")).filter("text is not null").select("source", F.explode(inner).alias("line"))
+    lines = F.split(_rtrim(F.col("text"), _BLANKS), "\n")
+    inner = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
+    each = docs.select(F.col(source).alias("source"), F.col(text).alias("text")).filter("text is not null").select("source", F.explode(inner).alias("line")).filter(~_is_blank(F.col("line")))
     each = each.withColumn("trimmed", _trimmed(F.col("line")))
 
     def counted(what: str, kind: Column, n: Column, yes: Column) -> Column:
         return F.struct(F.lit(what).alias("what"), kind.alias("kind"), n.alias("n"), F.when(yes, n).otherwise(0.0).alias("yes"))
 
     lead = counted("lead", _lead(F.col("line")), F.sqrt(F.length("trimmed")) / 5, ~_ends_in(F.col("trimmed"), _ENDS))
-    words = F.split("trimmed", r"[\s\h]+")
-    placed = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("word"), (i == F.size(words) - 1).alias("last"))), lambda x: x["word"].rlike(_SIGNS))
-    signs = F.transform(placed, lambda x: counted("signs", _signs(x["word"]), F.lit(1.0), x["last"]))
+
+    def of_words(words: Column) -> Column:
+        placed = F.transform(words, lambda x, i: F.struct(x.alias("word"), (i == F.size(words) - 1).alias("last")))
+        return F.transform(F.filter(placed, lambda x: x["word"].rlike(_SIGNS)), lambda x: counted("signs", _signs(x["word"]), F.lit(1.0), x["last"]))
+
+    signs = F.transform(F.array(F.split("trimmed", r"[\s\h]+")), of_words)[0]  # split once, however often it is used
     # Both counts in one pass over the lines; only lines with signs are split into words.
     both = F.when(F.col("trimmed").rlike(_SIGNS), F.concat(F.array(lead), signs)).otherwise(F.array(lead))
     counts = each.select("source", F.explode(both).alias("c")).groupBy("source", "c.what", "c.kind").agg(F.sum("c.n").alias("n"), F.sum("c.yes").alias("yes"))
@@ -192,9 +204,9 @@ def length_spikes(ends: DataFrame) -> DataFrame:
 
 def _known_forms(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """``form`` of the wanted lines that stand in two texts, their last lines aside, with another line after them."""
-    lines = F.split(F.rtrim(F.col(text), F.lit(_BLANKS)), "\n")
+    lines = F.split(_rtrim(F.col(text), _BLANKS), "\n")
     rest = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-    forms = F.array_distinct(F.transform(F.filter(rest, lambda x: (F.length(x) > 1) & ~_ends_in(F.rtrim(x, F.lit(_BLANKS)), _ENDS)), lambda x: F.xxhash64(line_form(x))))
+    forms = F.array_distinct(F.transform(F.filter(rest, lambda x: (F.length(x) > 1) & ~_ends_in(_rtrim(x, _BLANKS), _ENDS)), lambda x: F.xxhash64(line_form(x))))
     each = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(rest).alias("rest"), F.explode(forms).alias("form"))
     wanted = materialize(wanted.distinct(), "wanted")
     few = wanted.count() <= BROADCAST_FORMS
