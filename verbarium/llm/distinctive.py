@@ -14,15 +14,16 @@ key are scored each, and give each their rows; an empty table gives an empty one
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbarium.llm.words import partial_counts, words
+from verbarium.llm.words import WordTable, partial_counts, text_slices
 from verbarium.session import materialize
 
 #: Words whose counts are broadcast; about 2 MB.
@@ -73,39 +74,55 @@ def distinctive_words(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df_of = shared.value
-        weight = {t: idf(d) for t, d in df_of.items()}
+        listed = pa.array(list(df_of), pa.large_string())
+        weights = np.array([*map(idf, df_of.values()), math.nan])  # the last one for words that aren't listed
         rarest = idf(min_df) if n_docs else 0.0
         for batch in batches:
-            at, rows, terms, scores, shares = [], [], [], [], []
-            for i, value in enumerate(batch.column("text")):
-                if not value.is_valid:
-                    continue
-                found = words(value.as_py())
-                tf = Counter(found)
-                if len(tf) < min_words:
-                    continue
-                norm = math.sqrt(len(found)) if normalize else 1.0
-                scored, tail = [], []
-                for t, c in tf.items():
-                    w = weight.get(t)
-                    s = (1 + math.log10(c)) if c > 1 else 1.0
-                    if w is None:
-                        tail.append((s / norm, t))
-                    else:
-                        scored.append((-round(s * w / norm, digits), t))
-                kept = [(-s, t) for s, t in sorted(scored)[:best]]
-                floor = kept[-1][0] if len(kept) == best else -math.inf
-                for s, t in kept:
-                    at.append(i), terms.append(t), scores.append(s), shares.append(None)
-                for s, t in tail:  # only those that could still win go on
-                    if s * rarest + 1e-6 >= floor:
-                        at.append(i), terms.append(t), scores.append(None), shares.append(s)
-            keys = batch.column("key").take(pa.array(at, pa.int64()))
-            ids = batch.column("row").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, keys, pa.array(terms, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())],
-                names=["row", "key", "term", "score", "share"],
-            )
+            for rows, texts in text_slices(batch.column("text")):
+                w = WordTable(texts)
+                owner, word, tf = w.pairs()
+                sizes = np.bincount(owner, minlength=len(texts))
+                long = sizes[owner] >= min_words
+                owner, word, tf = owner[long], word[long], tf[long]
+                at = pc.index_in(w.terms, value_set=listed).fill_null(len(listed)).to_numpy() if len(w.terms) else np.zeros(0, dtype=np.int64)
+                weight = weights[at][word]
+                damped = np.array([0.0, 1.0, *(1 + math.log10(c) for c in range(2, int(tf.max()) + 1))] if len(tf) else [0.0])[tf]
+                norm = np.sqrt(np.diff(w.bounds))[owner] if normalize else np.ones(len(owner))
+                share, score = damped / norm, damped * weight / norm
+                # By text and falling score; those within the rounding of the best are rounded and ordered exactly.
+                head = np.flatnonzero(~np.isnan(score))
+                head = head[np.lexsort((-score[head], owner[head]))]
+                first = np.searchsorted(owner[head], np.arange(len(texts)))
+                count = np.diff(np.append(first, len(head)))
+                least = np.full(len(texts), -math.inf)
+                enough = count >= best
+                least[enough] = score[head][first[enough] + best - 1]
+                near = head[score[head] >= least[owner[head]] - 2 * 10.0**-digits]
+                terms = w.terms.take(pa.array(word[near])).to_pylist()
+                found: dict[int, list[tuple[float, str]]] = {}
+                for i, s, t in zip(owner[near].tolist(), score[near].tolist(), terms):
+                    found.setdefault(i, []).append((-round(s, digits), t))
+                out_row, out_term, out_score = [], [], []
+                floor = np.full(len(texts), -math.inf)
+                for i, scored in found.items():
+                    scored.sort()
+                    if len(scored) >= best:
+                        floor[i] = -scored[best - 1][0]
+                    for s, t in scored[:best]:
+                        out_row.append(i), out_term.append(t), out_score.append(-s)
+                tail = np.flatnonzero(np.isnan(score))
+                tail = tail[share[tail] * rarest + 10.0**-digits >= floor[owner[tail]]]  # only those that could still win go on
+                every = pa.array(rows[np.concatenate([np.array(out_row, dtype=np.int64), owner[tail]])], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row").take(every),
+                        batch.column("key").take(every),
+                        pa.concat_arrays([pa.array(out_term, pa.string()), w.terms.take(pa.array(word[tail])).cast(pa.string())]),
+                        pa.concat_arrays([pa.array(out_score, pa.float64()), pa.nulls(len(tail), pa.float64())]),
+                        pa.concat_arrays([pa.nulls(len(out_row), pa.float64()), pa.array(share[tail], pa.float64())]),
+                    ],
+                    names=["row", "key", "term", "score", "share"],
+                )
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     local = base.mapInArrow(score, f"row bigint, key {kind.simpleString()}, term string, score double, share double")
