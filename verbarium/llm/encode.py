@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces up to this length are leaves of the tree.
-LEAF_CHARS = 4096
+LEAF_CHARS = 1024
 #: Longer texts become several rows.
 SPLIT_CHARS = 1 << 18
 #: First width of the window beside a seam.
