@@ -1,7 +1,7 @@
 import pytest
 
 from verbarium.sources.docstore import DocStore, latest
-from verbarium.sources.files import page_parts, read_corpus, read_dictionary, read_links, read_urls
+from verbarium.sources.files import page_parts, read_corpus, read_dictionary, read_links, read_urls, write_corpus, write_lines
 from verbarium.streaming.ingest import ingest, open_stream_index
 
 
@@ -45,6 +45,17 @@ def test_files(spark, tmp_path):
     assert {tuple(r) for r in read_dictionary(spark, str(tmp_path / "d.txt"), "en").collect()} == {("cat", 3.0, "en"), ("dog", 2.5, "en")}
 
 
+def test_written_files_come_back(spark, tmp_path):
+    texts = [(7, "7\nhttps://a.example/x\r\nbody \" 字\n"), (8, ""), (9, None), (None, "x")]
+    folder = str(tmp_path / "crawl")
+    assert write_corpus(spark.createDataFrame(texts, "page_id bigint, text string"), folder) == 2
+    assert {(r.page_id, r.text) for r in read_corpus(spark, folder).collect()} == {(7, texts[0][1])}  # an empty file gives no page
+    rows = [(1, 'https://a.example/"q"'), (2, None), (None, "https://b.example")]
+    path = str(tmp_path / "urls")
+    write_lines(spark.createDataFrame(rows, "id int, url string"), path, "id", "url")
+    assert {tuple(r) for r in read_urls(spark, path).collect()} == set(rows)
+
+
 def test_stream_ingest(spark, tmp_path):
     source, path, state = (str(tmp_path / x) for x in ("in", "index", "state"))
     docs(spark, [(1, "cat dog"), (2, "dog")]).write.parquet(source)
@@ -62,6 +73,24 @@ def test_stream_ingest(spark, tmp_path):
     assert index.postings.filter("term = 'cat'").count() == 2
 
 
+def test_deletions_of_a_streamed_index_stay(spark, tmp_path):
+    source, path, state = (str(tmp_path / x) for x in ("in", "index", "state"))
+    docs(spark, [(1, "heron pond"), (2, "pond"), (3, "heron")]).write.parquet(source)
+
+    def run():
+        ingest(spark.readStream.schema("doc_id bigint, text string").parquet(source), path, state, per_segment=2).awaitTermination()
+        return open_stream_index(spark, path)
+
+    run().delete("heron")
+    assert sorted(r.key for r in open_stream_index(spark, path).live().collect()) == [2]
+    docs(spark, [(4, "heron reed")]).write.mode("append").parquet(source)
+    index = run()
+    assert sorted(r.key for r in index.live().collect()) == [2, 4]
+    assert {(r.seg_id, r.n_docs) for r in index.segments().collect()} == {(0, 2), (1, 1), (2, 1)}
+    # Segments are folders of a batch, not folders of their own.
+    assert sorted(p.name for p in (tmp_path / "index" / "documents").iterdir() if p.is_dir()) == ["batch=0", "batch=2"]
+
+
 def test_large_batch_leaves_the_next_one_whole(spark, tmp_path, monkeypatch):
     source, path, state = (str(tmp_path / x) for x in ("in", "index", "state"))
     # Segments that a batch might once have: the first batch has more.

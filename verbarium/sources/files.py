@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, text`` of ``<folder>/cleaned/<number>``: one text a file, UTF-8; other names are left out."""
+    """``page_id, text`` of ``<folder>/cleaned/<number>``: one text a file, UTF-8; other names and empty files are left out."""
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
     files = spark.read.text(f"{folder}/cleaned", wholetext=True).select(name.alias("name"), F.col("value").alias("text"))
     return files.filter(F.col("name").rlike(r"^\d+$")).select(F.col("name").cast("bigint").alias("page_id"), "text")
