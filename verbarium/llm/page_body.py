@@ -52,6 +52,8 @@ PAGES_PER_GROUP = 5000
 
 _LETTERS = re.compile(r"[\W\d_]+")
 _PARTS = re.compile(r"\s+[|·•»›>/]\s+|\xa0*[|·•»›>/]\xa0+|[ \xa0]{2,}|　")
+#: What every separator has, looked for first.
+_SEPARATORS = re.compile("[|·•»›>/\u3000]|[ \xa0]{2}")
 _PREFIX = re.compile(r"^\s*([^:：]+?)\s*[:：]\s*\S")
 _ENDED = re.compile(r"[.!?。！？][)\]\"'”’」』»]*\s*$")
 _TEASER = re.compile(r"(?:\.\.\.|…)\s*$|^.+?\s-\s[A-Z“\"㐀-鿿぀-ヿ]")
@@ -74,9 +76,9 @@ def _code(kind: str, form: str) -> int:
 
 
 def _codes(text: str, name: str) -> tuple[int, tuple[int, ...], int | None]:
-    cut = [p for p in _PARTS.split(text) if p.strip()]
+    cut = [p for p in _PARTS.split(text) if p.strip()] if _SEPARATORS.search(text) else []
     parts = tuple(_code("part", template(p, name)) for p in cut) if len(cut) > 1 else ()
-    m = _PREFIX.match(text)
+    m = _PREFIX.match(text) if ":" in text or "：" in text else None
     return _code("line", template(text, name)), parts, _code("prefix", template(m[1], name)) if m else None
 
 

@@ -113,11 +113,13 @@ def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
     containers are numbered without gaps; and there are at most 1 % more than the tokens need.
     """
     from verbarium.llm.encode import count_tokens
+    from verbarium.llm.packing import pack
     from verbarium.session import materialize
 
     capacity = 2048
-    parts = materialize(p9_containers(spark, d), "containers")
-    sizes = count_tokens(table(spark, d, "documents")).filter("n_tokens > 0").select("doc_id", F.col("n_tokens").alias("size"))
+    counted = materialize(count_tokens(table(spark, d, "documents")).filter("n_tokens > 0"), "sizes")
+    parts = materialize(pack(counted, "doc_id", "n_tokens", capacity), "containers")
+    sizes = counted.select("doc_id", F.col("n_tokens").alias("size"))
     filled = parts.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
     per = parts.groupBy("doc_id").agg(
         F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.col("first") + F.col("n_tokens")).alias("last"),
