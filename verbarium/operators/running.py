@@ -46,3 +46,38 @@ def running_total(
         .join(F.broadcast(offsets).alias("r"), condition, "left")
         .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_i") + F.coalesce(F.col("_o"), F.lit(0))).alias(out))
     )
+
+
+def running_rank(df: DataFrame, group: list[str], order: list[tuple[str, bool]], spread: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Add ``out``: one more than the rows of the group that stand strictly before this one; equal rows share it.
+
+    ``order`` names the columns, without nulls, and whether they rise. Rows are range-partitioned
+    by group, order and ``spread``, so that neither a large group nor many equal rows fill a
+    task; where equal rows span slices, the place of their first slice counts. One row per
+    slice and group is gathered to find that, and one per slice is broadcast.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc() if rises else F.col(c).desc() for c, rises in order]
+    values = [c for c, _ in order]
+    sliced = df.repartitionByRange(n, *[F.col(c) for c in group], *by, F.col(spread)).withColumn("_slice", F.spark_partition_id())
+    ranked = materialize(sliced.withColumn("_r", F.rank().over(W.partitionBy("_slice", *group).orderBy(*by))), "ranks")
+    last = F.max(F.struct(F.col("_r").alias("r"), *[F.col(c) for c in values])).alias("_last")
+    every = ranked.groupBy("_slice", *group).agg(F.count(F.lit(1)).alias("_n"), last)
+    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = every.withColumn("_o", F.sum("_n").over(before)).withColumn("_k", F.count(F.lit(1)).over(W.partitionBy(*group)))
+    # Only groups of several slices count here: about as many rows as there are slices.
+    slices = materialize(slices.filter("_k > 1").select("_slice", *group, F.coalesce("_o", F.lit(0)).alias("_o"), "_last"), "slices")
+    offsets = slices.select("_slice", *group, "_o")
+    ties = slices.groupBy(*group, *[F.col(f"_last.{c}").alias(c) for c in values]).agg(F.min(F.col("_o") + F.col("_last.r")).alias("_start"))
+
+    def on(columns: list[str], right: str):
+        condition = F.lit(True)
+        for c in columns:
+            condition = condition & F.col(f"l.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+        return condition
+
+    joined = (
+        ranked.alias("l").join(F.broadcast(offsets).alias("o"), on(["_slice", *group], "o"), "left").join(F.broadcast(ties).alias("t"), on([*group, *values], "t"), "left")
+    )
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce(F.col("_start"), F.col("_r") + F.coalesce("_o", F.lit(0))).alias(out))
