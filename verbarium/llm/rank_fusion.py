@@ -3,8 +3,9 @@
 Median rank aggregation: an item's place in each score counts, not the score. Items are
 ordered by the weighted median of their places, then by the mean, then by identifier.
 
-Places are found without putting a group into one task: equal values are counted first,
-the counted values are range-partitioned, and running totals of the counts give the places.
+Places are found without putting a group, or the items of one value, into one task: the scores
+are range-partitioned by group, metric, value and item, and places are counted within slices
+and corrected by a small table of slices.
 
 Defined cases: null, NaN and absent scores share the last place; equal scores share the best
 place of theirs; repeated rows of an item are one item with the best of each score; rows
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbarium.operators.running import running_total
+from verbarium.operators.running import running_rank, running_total
 from verbarium.session import materialize
 
 
@@ -39,9 +40,8 @@ def places(items: DataFrame, group: str, item: str, scores: list[str]) -> DataFr
         item,
         F.explode(F.array(*[F.struct(F.lit(i).alias("metric"), F.col(s).isNull().alias("absent"), F.coalesce(s, F.lit(0.0)).alias("value")) for i, s in enumerate(scores)])).alias("x"),
     ).select(group, item, "x.*")
-    values = stacked.groupBy(group, "metric", "absent", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_total(values, [group, "metric"], [F.col("absent").asc(), F.col("value").desc()], F.col("n"), "before")
-    return stacked.join(ranked.drop("n"), [group, "metric", "absent", "value"]).select(group, item, "metric", (F.col("before") + 1).alias("place"))
+    order = [("absent", True), ("value", False)]
+    return running_rank(stacked, [group, "metric"], order, item, "place").select(group, item, "metric", "place")
 
 
 def weighted_median(pairs: Column, total: float) -> Column:
