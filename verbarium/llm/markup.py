@@ -53,8 +53,9 @@ _SENTENCE = re.compile(r"[.!?。！？][)\]\"'”’」』»]*(?:\s|$)|[。！
 
 
 def has_markup(text: Column) -> Column:
-    """Whether a text has at least two closing tags of blocks."""
-    return F.coalesce(F.regexp_count(text, F.lit(_CLOSING_TAG)) >= 2, F.lit(False))
+    """Whether a text begins with a tag, after its id and url line if it has them, and has at least two closing tags of blocks."""
+    begins = text.rlike(r"^(?:[^\n<]*\n[^\n<]*\n)?\s*<[!a-zA-Z]")
+    return F.coalesce(F.when(begins, F.regexp_count(text, F.lit(_CLOSING_TAG)) >= 2), F.lit(False))
 
 
 def step_name(tag: str, classes: str | None) -> str:
