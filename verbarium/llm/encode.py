@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbarium.llm.words import slices
+
 #: Pieces up to this length are leaves of the tree.
 LEAF_CHARS = 1024
 #: Longer texts become several rows.
@@ -139,20 +141,6 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts have about ``limit`` bytes, so that results stay small."""
-    sizes = batch.column(column)
-    start, total = 0, 0
-    for i in range(batch.num_rows):
-        v = sizes[i]
-        total += v.as_buffer().size if v.is_valid else 0
-        if total >= limit:
-            yield batch.slice(start, i + 1 - start)
-            start, total = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _pieces(text: Column, size: int) -> Column:
     n = F.ceil(F.length(text) / size).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
@@ -170,14 +158,14 @@ def encode_documents(
         enc = encoder(ranks_path)
         none = np.zeros(0, dtype=np.int32)
         for batch in batches:
-            for part in _slices(batch, "text"):
+            for part in slices(batch, "text"):
                 ids = [enc.encode(t) if t else none for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("key"), _list_array(ids)], names=[key, "ids"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for batch in batches:
-            for part in _slices(batch, "text"):
+            for part in slices(batch, "text"):
                 ids = [enc.encode(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "key", "no", "text")] + [_list_array(ids)], names=["row", "key", "no", "text", "ids"])
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbarium.llm.words import slices
 from verbarium.session import materialize
 
 #: Share of a page's best score that still is a vote, and share of a path's pages that must vote for it.
@@ -168,7 +169,7 @@ def parsed_blocks(pages: DataFrame) -> DataFrame:
     container = pa.struct([("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("vote", pa.int32()), ("best", pa.int32())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, "text", 1 << 20)):
             each, scored = [], []
             for text in batch.column("text").to_pylist():
                 blocks = page_blocks(text)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.llm.markup import has_markup, kept_blocks
+from verbarium.llm.words import slices
 from verbarium.session import materialize
 
 #: Share and number of a host's pages that make a line's template frame.
@@ -47,6 +48,8 @@ WORD_SHARE, WORD_PAGES = 0.05, 3
 BROADCAST_TEMPLATES = 500_000
 #: Pages that stand there more than once up to which their keys are broadcast.
 BROADCAST_PAGES = 500_000
+#: Bytes of pages whose lines a task holds at once, about.
+PARSE_BYTES = 1 << 20
 #: Pages of one host in one task, where templates travel.
 PAGES_PER_GROUP = 5000
 
@@ -236,7 +239,7 @@ _PARSED = "page_id bigint, host string, text string, nos array<int>, lines array
 
 def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None, str, list[Line]]]:
     """``page_id, host, text`` and the lines of parsed pages."""
-    for b in batches:
+    for b in (x for batch in batches for x in slices(batch, "text", PARSE_BYTES)):
         for page, host, text, nos, codes, prefixes, cuts, parts in zip(*(b.column(c).to_pylist() for c in ("page_id", "host", "text", "nos", "lines", "prefixes", "cuts", "parts"))):
             raw, at, lines = text.split("\n"), 0, []
             for no, code, prefix, n in zip(nos, codes, prefixes, cuts):
@@ -302,7 +305,7 @@ def parsed(once: DataFrame) -> DataFrame:
     """Distinct pages ``page_id, host, text`` with the codes of their lines, parsed once, as a table."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text", PARSE_BYTES)):
             each = [page_lines(t, h) for t, h in zip(b.column("text").to_pylist(), b.column("host").to_pylist())]
             columns = [
                 pa.array([[x.no for x in p] for p in each], pa.list_(pa.int32())),

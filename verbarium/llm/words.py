@@ -77,6 +77,20 @@ def text_slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[np
         yield np.array(rows), texts
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``limit`` bytes, so that results stay small."""
+    sizes = batch.column(column)
+    start, total = 0, 0
+    for i in range(batch.num_rows):
+        v = sizes[i]
+        total += v.as_buffer().size if v.is_valid else 0
+        if total >= limit:
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def partial_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``term, tf, df`` of each task's share of the texts; the row with a null term counts non-null texts.
 
