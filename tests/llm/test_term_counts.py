@@ -71,6 +71,17 @@ def test_partitions_are_measured_uncompressed(spark, monkeypatch):
     assert len(got) == 301 and spilled == [1, 4]  # 300 terms of 500 bytes, which zstd writes in a few
 
 
+def test_rows_of_one_term_are_not_split(spark, monkeypatch):
+    from verbarium.llm import term_counts as module
+
+    spilled = []
+    real = module._spill
+    monkeypatch.setattr(module, "_spill", lambda rows, bits, n: spilled.append(bits) or real(rows, bits, n))
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'one', if(id % 3 = 1, 'two', null)) AS term", "2L AS tf", "1L AS df")
+    assert rows(radix_aggregate(df, max_part_bytes=100, first_bits=1)) == {"one": (2000, 1000), "two": (2000, 1000), None: (2000, 1000)}
+    assert len(spilled) <= 8
+
+
 def test_bands_and_dictionary(spark):
     lines = [("﻿ Cat　", "en"), ("cat", "en"), ("zebra", "en"), ("", "en"), ("﻿", "en"), (None, "en"), ("猫", "zh"), ("x", None)]
     listed = spark.createDataFrame(lines, "word string, lang string")

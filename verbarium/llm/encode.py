@@ -172,7 +172,10 @@ def encode_documents(
     def joined(table: pa.Table) -> pa.Table:
         enc = encoder(ranks_path)
         table = table.sort_by("no")
-        parts = [(t, np.asarray(i, dtype=np.int32)) for t, i in zip(table.column("text").to_pylist(), table.column("ids").to_pylist())]
+        lists = table.column("ids").combine_chunks()
+        # As arrays, without a Python object for each id.
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        parts = [(t, flat[a:b]) for t, a, b in zip(table.column("text").to_pylist(), bounds, bounds[1:])]
         while len(parts) > 1:  # one level of the tree
             pairs = [(a[0] + b[0], enc.join(a[0], a[1], b[0], b[1])) for a, b in zip(parts[::2], parts[1::2])]
             parts = pairs + ([parts[-1]] if len(parts) % 2 else [])

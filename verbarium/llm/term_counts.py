@@ -52,12 +52,12 @@ def _spill(rows: DataFrame, bits: int, partitions: int) -> str:
 
 
 def _parts(spark: SparkSession, schema, path: str) -> list[tuple[str, int]]:
-    """The folders below ``path``, as many as there are hash values, with the bytes of their rows."""
+    """The folders below ``path``, as many as there are hash values, with the bytes of their rows; rows of one term need no room."""
     p, fs = _hadoop_path(spark, path)
     folders = {int(s.getPath().getName().split("=")[1]): s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()}
     size = F.sum(F.coalesce(F.octet_length("term"), F.lit(0)).cast("long") + ROW_BYTES).alias("size")
-    sizes = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.LongType())])).parquet(path).groupBy("part").agg(size) if folders else None
-    return [(folders[r.part], r.size) for r in sizes.collect()] if folders else []
+    sizes = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.LongType())])).parquet(path).groupBy("part").agg(size, (F.min("term") < F.max("term")).alias("several")) if folders else None
+    return [(folders[r.part], r.size if r.several else 0) for r in sizes.collect()] if folders else []
 
 
 def aggregate_file(rows, spill: str | None, memory: str = DUCKDB_MEMORY) -> Iterator[pa.RecordBatch]:
