@@ -1,9 +1,13 @@
 import math
+from pathlib import Path
+from random import Random
 
 import pytest
 from test_index import NAIVE, STEMMED, build
 
-from verbarium.operators import graph, search
+from verbarium.operators import graph, scoring, search
+from verbarium.operators.index import TextIndex
+from verbarium.session import scratch_root
 
 
 def order(df):
@@ -53,6 +57,47 @@ def test_batch_equals_single_queries(spark):
     assert got == {1: order(search.search_tfidf(index, ["pear", "fig"], 2)), 2: order(search.search_tfidf(index, ["lime"]))}
 
 
+def batch(index, rows, id_type="int"):
+    queries = index.spark.createDataFrame(rows, f"query_id {id_type}, keywords array<string>, top_k int")
+    return [tuple(r) for r in search.search_batch(index, queries).orderBy("query_id", "place").collect()]
+
+
+def single(index, rows):
+    return [
+        (q, *r, place)
+        for q, words, k in rows
+        for place, r in enumerate(search.search_tfidf(index, [w for w in words if w], k, digits=6).select("seg_id", "doc_id", "key", "score").collect(), 1)
+    ]
+
+
+def test_batch_by_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "SLICE_DOCS", 7)
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 3)
+    monkeypatch.setattr(scoring, "BATCH_ROWS", 5)
+    random = Random(5)
+    index = build(spark, [" ".join(random.choices(["oak", "elm", "ash", "yew", "fir"], k=random.randint(1, 9))) for _ in range(60)], 4).delete("fir")
+    rows = [("a", ["oak", "elm", "oak"], None), ("b", ["ash"], None), ("c", ["ash", "yew", None, "oak", "nothing"], 9), ("d", ["elm"], 5), ("e", ["yew", "elm"], 0), ("f", ["nothing"], None)]
+    want = single(index, rows)
+    assert len(want) > 30
+    assert batch(index, rows, "string") == want
+
+
+def test_batch_of_nothing(spark):
+    assert batch(build(spark, ["pear"]), []) == []
+    assert batch(TextIndex.empty(spark), [(1, ["pear"], 3), (2, ["pear"], None)]) == []
+
+
+def test_batch_does_not_write_its_hits(spark):
+    index = build(spark, ["oak elm" if i % 3 else "oak elm elm" for i in range(300)], 50)
+    rows = [(i, ["oak", "elm"], 2 if i % 4 else None) for i in range(40)]
+    written = set(Path(scratch_root(spark)).rglob("*.parquet"))
+    queries = spark.createDataFrame(rows, "query_id int, keywords array<string>, top_k int")
+    assert search.search_batch(index, queries).count() == 30 * 2 + 10 * 300
+    # 12,000 pairs of query and document, of which 3,060 are asked for.
+    new = [str(p) for p in Path(scratch_root(spark)).rglob("*.parquet") if p not in written]
+    assert sum(spark.read.parquet(p).count() for p in new) < 1500
+
+
 def ranks(edges, nodes, steps, damping=0.85):
     x = dict.fromkeys(nodes, 1.0)
     out = {n: sum(s == n for s, d in edges) for n in nodes}

@@ -7,19 +7,23 @@ hits. Texts are joined last, to the hits alone.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbarium.functions.text import Analyzer
-from verbarium.operators.index import TextIndex
+from verbarium.operators.index import BROADCAST_SEGMENTS, TextIndex
 from verbarium.operators.running import running_total
+from verbarium.operators.scoring import Queries, place_all, summarize
 from verbarium.session import materialize
 
 _ID = ["seg_id", "doc_id"]
-#: Distinct terms of a batch of queries, and pairs of query and term, up to which they are broadcast, about 10 MB.
+#: Pairs of query and term that are broadcast at a time, about 10 MB.
 BROADCAST_TERMS = 100_000
+#: Documents of a slice that a task scores at once: at most, and at least where slices are made for idle cores.
+SLICE_DOCS, LEAST_DOCS = 32_768, 2_048
 
 
 def query_terms(index: TextIndex, words: list[str], analyze: Analyzer | None = None) -> list[str]:
@@ -172,33 +176,51 @@ def search_batch(index: TextIndex, queries: DataFrame, query_id: str = "query_id
     """TF-IDF of many queries at once: ``query_id, seg_id, doc_id, key, score, place``.
 
     Null words are left out, a null ``top_k`` gives all hits. The postings are read once, for
-    the queries' terms alone, and scored where they are unless the queries have more than
-    ``BROADCAST_TERMS`` terms. Each task keeps only the best of each limited query before the
-    last shuffle; the hits of unlimited ones are numbered over many tasks, so a query that
-    hits most documents is no matter.
+    the queries' terms alone, and written by document. Tasks score slices of documents and
+    keep the best of each limited query. Of unlimited ones they count documents by score;
+    from these counts come the places when the slices are scored again for the result, so
+    that hits are neither sorted nor written, however many a query has. ``BROADCAST_TERMS``
+    pairs of query and term are scored at a time.
     """
+    spark = index.spark
     text = F.array_join(F.filter(F.col(words), lambda x: x.isNotNull()), " ")
     terms = queries.select(F.col(query_id).alias("query_id"), F.col(top_k).alias("k"), F.explode(index.analyze(text)).alias("term")).groupBy("query_id", "k", "term").agg(F.count(F.lit(1)).alias("n_query"))
     terms = materialize(terms, "terms")
-    hint = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda x: x
-    n = index.documents.agg(F.count(F.lit(1)).alias("n"))
-    hits = materialize(index.postings.select(*_ID, "term", "tf").join(hint(terms.select("term").distinct()), "term", "left_semi"), "hits")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", _idf(F.col("n"), F.col("df")).alias("idf"))
-    weighted = terms.join(idf, "term")
-    weight = F.col("tf") * F.col("idf")
-    scored = (
-        hits.join(hint(weighted), "term")
-        .groupBy("query_id", "k", *_ID)
-        .agg(F.sum(weight * F.col("idf") * F.col("n_query")).alias("dot"), F.sum(weight * weight).alias("square"))
-        .select("query_id", "k", *_ID, F.round(F.col("dot") / F.sqrt("square"), digits).alias("score"))
-    )
-    scored = materialize(_live(index, scored), "scored")
-    most = queries.agg(F.max(top_k)).first()[0] or 0
+    pairs = terms.count()
+    hint = F.broadcast if pairs <= BROADCAST_TERMS else lambda x: x
+    numbers = terms.select("term").distinct()
+    numbers = materialize((numbers.coalesce(1) if pairs <= BROADCAST_TERMS else numbers).withColumn("t", F.monotonically_increasing_id()), "numbers")
+    sizes = materialize(index.documents.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0)), "sizes")
+    n, segments = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    slices = max(1, -(-n // SLICE_DOCS), min(4 * spark.sparkContext.defaultParallelism, -(-n // LEAST_DOCS)))
+    starts = running_total(sizes, ["all"], [F.col("seg_id").asc()], F.col("n"), "start").select("seg_id", "n", "start")
+    starts = F.broadcast(starts) if segments <= BROADCAST_SEGMENTS else starts
+    no = F.col("start") + F.least(F.col("doc_id"), F.col("n") - 1)
+    found = index.postings.select(*_ID, "term", "tf").join(hint(numbers), "term").groupBy(*_ID).agg(F.collect_list(F.struct("t", "tf")).alias("h"))
+    found = found.join(index.documents.select(*_ID, "key"), _ID).join(starts, "seg_id")
+    found = materialize(found.select(F.floor(no * slices / n).cast("int").alias("slice"), *_ID, "key", F.col("h.t").alias("ts"), F.col("h.tf").alias("tfs")), "hits")
+    df = found.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("t", _idf(F.lit(n), F.col("df")).alias("idf"))
+    weighted = terms.join(hint(numbers.join(idf, "t")), "term").select("query_id", "k", "t", "n_query", "idf")
+    blocks = -(-pairs // BROADCAST_TERMS)
+    if blocks > 1:
+        weighted = materialize(weighted, "weighted")
+    live = _live(index, found).repartition(slices, "slice")
+    kinds = {"query_id": terms.schema["query_id"].dataType.simpleString(), "k": terms.schema["k"].dataType.simpleString(), "key": found.schema["key"].dataType.simpleString()}
+    parts = [_batch_block(live, weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else weighted, slices, kinds, digits) for i in range(max(1, blocks))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _batch_block(found: DataFrame, weighted: DataFrame, slices: int, kinds: dict[str, str], digits: int) -> DataFrame:
+    shared = found.sparkSession.sparkContext.broadcast(Queries(weighted.toArrow(), digits))
+    row = f"seg_id int, doc_id int, key {kinds['key']}, score double"
+    first = found.groupBy("slice").applyInArrow(summarize(shared), f"query_id {kinds['query_id']}, k {kinds['k']}, q int, slice int, {row}, n bigint")
+    first = materialize(first, "best")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *_ID))
-    limited = scored.filter("k is not null").withColumn("place", place).filter((F.col("place") <= most) & (F.col("place") <= F.col("k")))
-    order = [F.col("score").desc(), *[F.col(c).asc() for c in _ID]]
-    every = running_total(scored.filter("k is null"), ["query_id"], order, F.lit(1), "before")
-    every = every.withColumn("place", (F.col("before") + 1).cast("int")).drop("before")
-    best = limited.unionByName(every)
-    return best.join(index.documents.select(*_ID, "key"), _ID).select("query_id", *_ID, "key", "score", "place")
+    limited = first.filter("n is null").withColumn("place", place).filter(F.col("place") <= F.col("k"))
+    # One row for each score of a query and slice that has it.
+    counts = first.filter("n is not null").select("q", "score", "slice", "n")
+    before = running_total(counts, ["q"], [F.col("score").desc(), F.col("slice").asc()], F.col("n"), "before").drop("n")
+    rows = found.unionByName(before, allowMissingColumns=True).repartition(slices, "slice")
+    every = rows.groupBy("slice").applyInArrow(place_all(shared), f"query_id {kinds['query_id']}, {row}, place int")
+    return limited.select(*every.columns).unionByName(every)
